@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseam.llm import license_index, quality_lines, source_mix, url_rules
+from lodeseam.llm import decontam, html_paths, license_index, line_dedup, quality_lines, source_mix, token_store, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,10 +34,35 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_paths.extract_main_text(spark, _table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontam.scan_documents(spark, _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["past"] - s["first"])
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = token_store.write_store(spark, _table(spark, sf_dir, "documents"))
+    return token_store.read_documents(spark, store).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.drop_repeated_lines(spark, _table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("clean_text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_html": op3_html,
     "op4_mix": op4_mix,
     "op5_quality": op5_quality,
+    "op6_decontaminate": op6_decontaminate,
     "op7_urls": op7_urls,
     "op8_licenses": op8_licenses,
+    "op9_tokens": op9_tokens,
+    "op10_lines": op10_lines,
 }
 ORACLE: dict[str, str] = {}
