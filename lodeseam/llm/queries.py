@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseam.llm import decontam, html_paths, license_index, line_dedup, quality_lines, source_mix, token_store, url_rules
+from lodeseam.llm import decontam, html_paths, license_index, line_dedup, quality_lines, simhash_ball, source_mix, token_store, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_ball.near_duplicates(spark, _table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = html_paths.extract_main_text(spark, _table(spark, sf_dir, "pages"))
     return out.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
@@ -56,6 +60,7 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_simhash": op2_simhash,
     "op3_html": op3_html,
     "op4_mix": op4_mix,
     "op5_quality": op5_quality,
