@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseam.llm import decontam, html_paths, license_index, line_dedup, quality_lines, simhash_ball, source_mix, token_store, url_rules
+from lodeseam.llm import decontam, html_paths, license_index, line_dedup, quality_lines, simhash_ball, source_mix, token_store, toxicity_knn, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,13 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    learn = _table(spark, sf_dir, "labels").where(~held_out).select("doc_id", "toxic")
+    out = toxicity_knn.train_and_score(spark, _table(spark, sf_dir, "documents").select("doc_id", "text"), learn)
+    return out.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"), F.array_join("evidence", ",").alias("nearest"), F.array_join("cosines", ",").alias("cosines"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_ball.near_duplicates(spark, _table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -60,6 +67,7 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_simhash": op2_simhash,
     "op3_html": op3_html,
     "op4_mix": op4_mix,
