@@ -143,6 +143,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_
 def keep_one(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with the document of the least id of each class alone; of rows that share it, one."""
     found = near_duplicates(spark, docs, id_col=id_col, text_col=text_col, shingle=shingle)
-    firsts = persisted(spark, found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col).distinct(), "simhash-firsts")
-    once = docs.dropDuplicates([id_col])
-    return once.join(firsts, once[id_col].eqNullSafe(firsts[id_col]), "left_semi")
+    firsts = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__first")).count()
+    firsts = persisted(spark, firsts, "simhash-firsts")
+    same = docs[id_col].eqNullSafe(F.col("__first"))
+    kept = docs.join(firsts.where("count = 1"), same, "left_semi")
+    often = firsts.where("count > 1")
+    if often.isEmpty():
+        return kept
+    return kept.unionByName(docs.join(often, same, "left_semi").dropDuplicates([id_col]))

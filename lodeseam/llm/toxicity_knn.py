@@ -37,7 +37,7 @@ from lodeseam.llm.bytes_text import alnum_words
 from lodeseam.session import persisted, ship_package, small_batches
 
 #: Bounds of the sample (rows of each class), of the terms, and of the words a worker remembers.
-MAX_EXAMPLES, MAX_TERMS, MIN_DOCS, HELD_WORDS, HELD_TERMS = 8192, 2048, 5, 400_000, 300_000
+MAX_EXAMPLES, MAX_TERMS, MIN_DOCS, HELD_WORDS, HELD_TERMS = 8192, 2048, 3, 400_000, 300_000
 NEAREST, BLOCK, MIN_LLR = 25, 64, 12.0
 PREFIXES = (4, 5, 6)
 
