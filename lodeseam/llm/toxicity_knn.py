@@ -8,8 +8,8 @@ all documents, of unit length.
 
 The sample's vectors are the labelled examples.  Their index holds, for each term, its postings and the greatest weight
 of every block of ``BLOCK`` examples (ordered so that like vectors stand together).  A document bounds each block by
-the dot product with the blocks' greatest weights and scores blocks in falling order of the bound, until no bound
-reaches the k-th best score so far: the k nearest are exact (ties: the lesser example number).
+the dot product with the blocks' greatest weights, scores the blocks of the greatest bounds, and then every block
+whose bound reaches the k-th best score so far: the k nearest are exact (ties: the lesser example number).
 
 Votes are weighted by cosine, and by class so that the sample stands for all training rows.  A vote's calibrated score is
 the toxic share among the training examples with a like vote, each judged by the others (leave one out), made
@@ -87,25 +87,30 @@ class BlockMaxIndex:
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The numbers and cosines of the k nearest with a cosine over 0, by falling cosine, then number."""
         bound = weights @ self.peak[terms]
-        queue = np.argsort(-bound, kind="stable")
-        queue = queue[bound[queue] > 0]
-        best_i, best_s = np.zeros(0, np.int64), np.zeros(0)
-        step, at = max(1, -(-k // self.block)), 0
-        while at < len(queue):
-            if len(best_s) >= k and bound[queue[at]] < best_s[-1] - 1e-12:
-                break
-            for b in queue[at : at + step].tolist():
-                lo, hi = b * self.block, min(self.n, (b + 1) * self.block)
-                score = np.zeros(hi - lo)
-                for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                    x, y = np.searchsorted(self.slots[t], (lo, hi))
-                    score[self.slots[t][x:y] - lo] += w * self.weights[t][x:y]
-                hit = np.flatnonzero(score > 0)
-                best_i, best_s = np.concatenate((best_i, self.order[lo + hit])), np.concatenate((best_s, score[hit]))
-            keep = np.lexsort((best_i, -np.round(best_s, 12)))[:k]
-            best_i, best_s = best_i[keep], best_s[keep]
-            at += step
-        return best_i, best_s
+        done = np.zeros(self.blocks, bool)
+        first = np.argsort(-bound, kind="stable")[: -(-k // self.block) + 1]
+        done[first[bound[first] > 0]] = True
+        score = self._scored(terms, weights, done)
+        found = score[score > 0]
+        if len(found) >= k:
+            least = np.partition(found, len(found) - k)[len(found) - k]
+            more = (bound >= least - 1e-12) & ~done
+        else:
+            more = (bound > 0) & ~done
+        if more.any():
+            score += self._scored(terms, weights, more)
+        hit = np.flatnonzero(score > 0)
+        keep = np.lexsort((self.order[hit], -np.round(score[hit], 12)))[:k]
+        return self.order[hit[keep]], score[hit[keep]]
+
+    def _scored(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Dot products with the examples of some blocks; 0 elsewhere."""
+        score = np.zeros(self.n)
+        for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
+            slots = self.slots[t]
+            mine = blocks[slots // self.block]
+            score[slots[mine]] += w * self.weights[t][mine]
+        return score
 
 
 class Scorer:
@@ -117,11 +122,16 @@ class Scorer:
         self.labels = np.array([y for *_, y in self.examples], np.int64)
         self.votes = np.where(self.labels == 1, model.class_weight[1], model.class_weight[0])
         self.seen: dict[bytes, tuple[float, list[int], list[float]]] = {}
+        self.lists: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
 
     def vote(self, terms: np.ndarray, weights: np.ndarray, without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        near, cos = self.index.nearest(terms, weights, self.k + (without >= 0))
-        if without >= 0:
-            near, cos = near[near != without][: self.k], cos[near != without][: self.k]
+        key = terms.tobytes() + weights.tobytes()
+        if key not in self.lists:
+            if len(self.lists) > 50_000:
+                self.lists.clear()
+            self.lists[key] = self.index.nearest(terms, weights, self.k + 1)
+        near, cos = self.lists[key]
+        near, cos = near[near != without][: self.k], cos[near != without][: self.k]
         w = cos * self.votes[near]
         # One example's worth of the base rate keeps few, far neighbours from deciding all.
         prior = float(np.mean(self.votes[near])) * 0.05 if len(near) else 1.0
