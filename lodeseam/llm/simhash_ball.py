@@ -39,6 +39,8 @@ from lodeseam.llm.bytes_text import encoded
 from lodeseam.session import persisted, ship_package, small_batches
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
+#: Shared variants up to this many (some 64 MB) are sent to all executors; more are met by a shuffle.
+BROADCAST_KEYS = 2_000_000
 #: The thirds of a fingerprint, as masks of what is left without them.
 _THIRDS = [((1 << 22) - 1) << 42, ((1 << 21) - 1) << 21, (1 << 21) - 1]
 
@@ -84,6 +86,10 @@ def _ball(x: Column, keep: int, tag: int = 0) -> Column:
     return F.transform(F.array(*[F.lit(_signed(f | tag)) for f in flips]), lambda f: x.bitwiseAND(F.lit(_signed(keep))).bitwiseXOR(f))
 
 
+def _sent(keys: DataFrame) -> DataFrame:
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def spread_labels(spark: SparkSession, vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(v, label): the least vertex that each can reach.  ``vertices`` (v long, distinct), ``edges`` (a, b)."""
     edges = persisted(spark, edges, "cc-edges")
@@ -111,7 +117,7 @@ def classes(spark: SparkSession, fps: DataFrame) -> DataFrame:
     shared = distinct.select("fp", F.explode(_ball(F.col("fp"), every)).alias("z")).groupBy("z").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi")
     shared = persisted(spark, shared, "simhash-shared")
     # A fingerprint's own variants tell which of those it is linked to.
-    touched = persisted(spark, shared.select("z", "lo").join(distinct.select("fp", F.explode(_ball(F.col("fp"), every)).alias("z")), "z").where("fp <> lo").groupBy("fp", "lo").agg(F.lit(1)).select(F.col("fp").alias("a"), F.col("lo").alias("b")), "simhash-near")
+    touched = persisted(spark, _sent(shared.select("z", "lo")).join(distinct.select("fp", F.explode(_ball(F.col("fp"), every)).alias("z")), "z").where("fp <> lo").groupBy("fp", "lo").agg(F.lit(1)).select(F.col("fp").alias("a"), F.col("lo").alias("b")), "simhash-near")
     first = spread_labels(spark, distinct.select(F.col("fp").alias("v")), touched)
     named = first.select(F.col("v").alias("fp"), F.col("label").alias("c"))
     rests = None
@@ -121,7 +127,7 @@ def classes(spark: SparkSession, fps: DataFrame) -> DataFrame:
         rests = part if rests is None else rests.unionByName(part)
     met = rests.groupBy("z").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("z")
     met = persisted(spark, met, "simhash-met")
-    inside = persisted(spark, rests.join(met, "z"), "simhash-colliding")
+    inside = persisted(spark, rests.join(_sent(met), "z"), "simhash-colliding")
     x, y = inside.alias("x"), inside.alias("y")
     near = (F.col("x.z") == F.col("y.z")) & (F.col("x.c") < F.col("y.c")) & (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= RADIUS)
     links = x.join(y, near).groupBy(F.col("x.c").alias("a"), F.col("y.c").alias("b")).agg(F.lit(1)).select("a", "b")
