@@ -31,7 +31,8 @@ def of_types(edges: DataFrame, types: list[str] | None) -> DataFrame:
 
 
 def reverse(edges: DataFrame) -> DataFrame:
-    return edges.withColumnsRenamed({"src": "dst", "dst": "src"})
+    rest = [c for c in edges.columns if c not in ("src", "dst")]
+    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *rest)
 
 
 def bfs(spark: SparkSession, edges: DataFrame, starts: DataFrame, depth: int, *, types: list[str] | None = None, direction: str = "forward") -> DataFrame:
