@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeseam.llm import decontam, html_paths, license_index, line_dedup, quality_lines, simhash_ball, source_mix, token_store, toxicity_knn, url_rules
+from lodeseam.llm.oracles import ORACLE  # noqa: F401
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,4 +79,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_tokens": op9_tokens,
     "op10_lines": op10_lines,
 }
-ORACLE: dict[str, str] = {}

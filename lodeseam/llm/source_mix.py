@@ -123,11 +123,14 @@ def mix(spark: SparkSession, docs: DataFrame, *, text_col: str = "text", id_col:
     last = edge.groupBy(*leaf).agg(F.max(F.when(F.col("room") >= F.col("n_tokens") * F.col("copies"), F.struct("h", "n_tokens"))).alias("upto_row"))
     plan = persisted(spark, budgets.join(cuts.drop("rest"), leaf, "left").join(last, leaf, "left"), "mix-plan")
 
-    rows = named.withColumn("k", key).join(small(plan), leaf)
-    h = order(F.col("whole"))
-    rows = rows.withColumn("h", h).withColumn("bucket", bucket)
-    tail = (F.col("bucket") < F.col("at")) | ((F.col("bucket") == F.col("at")) & F.coalesce(F.struct("h", "n_tokens") <= F.col("upto_row"), F.lit(False)))
-    epochs = F.concat(F.when(F.col("whole") > 0, F.sequence(F.lit(0).cast("long"), F.col("whole") - 1)).otherwise(F.array().cast("array<bigint>")), F.when(tail & (F.col("rest") > 0), F.array(F.col("whole"))).otherwise(F.array().cast("array<bigint>")))
+    inner = {c: f"__{c}" for c in ("whole", "rest", "at", "upto_row")}
+    plan = plan.select(*leaf, *[F.col(c).alias(n) for c, n in inner.items()])
+    rows = named.withColumn("__k", key).join(small(plan), leaf)
+    rows = rows.withColumn("__h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__whole").cast("string"), F.coalesce("__k", F.lit("")))))
+    rows = rows.withColumn("__bucket", F.conv(F.substring("__h", 1, HEX), 16, 10).cast("int"))
+    tail = (F.col("__bucket") < F.col("__at")) | ((F.col("__bucket") == F.col("__at")) & F.coalesce(F.struct(F.col("__h").alias("h"), F.col("n_tokens").alias("n_tokens")) <= F.col("__upto_row"), F.lit(False)))
+    none = F.array().cast("array<bigint>")
+    epochs = F.concat(F.when(F.col("__whole") > 0, F.sequence(F.lit(0).cast("long"), F.col("__whole") - 1)).otherwise(none), F.when(tail & (F.col("__rest") > 0), F.array(F.col("__whole"))).otherwise(none))
     return rows.select(*keep, "domain", "n_tokens", F.explode(epochs).alias("epoch"))
 
 
