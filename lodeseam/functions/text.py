@@ -169,7 +169,7 @@ def prose_only(text: Column) -> Column:
     t = F.regexp_replace(t, r"(?s)```.*?(```|\z)", "")
     t = F.regexp_replace(t, r"(?m)^Traceback \(most recent call last\):\n(?:[ \t]+.*\n?)*", "")
     t = F.regexp_replace(t, r'(?m)^\s*File "[^"]+", line \d+.*\n?', "")
-    return F.trim(F.regexp_replace(t, r"\n{3,}", "\n\n"))
+    return F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
 def import_names(statement: Column) -> Column:

@@ -31,17 +31,18 @@ def innermost(points: DataFrame, spans: DataFrame, file: str, line: str, *, by_s
 
 
 def resolve_names(refs: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(ref columns, dst, conf) of refs (file, name, ...): same file 1.0 if the name is its only one, unique .9,
+    """(ref columns, dst, conf) of refs (file, name, ...): the file's own top-level name 1.0, a unique name .9, of the
     same file among many .95, else the first three at .7; names that nothing has are dropped."""
     names = short_names(symbols).select(F.col("short").alias("name"), F.col("fqn").alias("dst"), F.col("file").alias("dfile"))
     n = names.groupBy("name").agg(F.countDistinct("dst").alias("n"))
     j = refs.join(names, "name").join(n, "name")
     same = F.col("file") == F.col("dfile")
-    prio = F.when(same, 1).when(F.col("n") == 1, 2).otherwise(3)
-    conf = F.when(same & (F.col("n") == 1), 1.0).when(same, 0.95).when(F.col("n") == 1, 0.9).otherwise(0.7)
+    exact = F.col("dst") == F.concat("file", F.lit("::"), "name")
+    prio = F.when(exact, 1).when(F.col("n") == 1, 2).when(same, 3).otherwise(4)
+    conf = F.element_at(F.array(*map(F.lit, (1.0, 0.9, 0.95, 0.7))), prio)
     key = W.partitionBy(*refs.columns)
     best = j.withColumn("prio", prio).withColumn("conf", conf).withColumn("top", F.min("prio").over(key)).where("prio = top")
-    few = best.withColumn("k", F.row_number().over(key.orderBy("dst"))).where(F.col("k") <= F.when(F.col("prio") == 3, 3).otherwise(1))
+    few = best.withColumn("k", F.row_number().over(key.orderBy("dst"))).where(F.col("k") <= F.when(F.col("prio") == 4, 3).otherwise(1))
     return few.select(*refs.columns, "dst", "conf")
 
 

@@ -50,6 +50,7 @@ def entity_matches(names: DataFrame, symbols: DataFrame) -> DataFrame:
 
     A match in the named file comes first, then the exact member or last segment, then what the file exports.
     """
+    symbols = symbols.select("fqn", "file", "last", "member", "exported")
     j = names.join(symbols, (F.lower("name") == F.lower("last")) | (F.col("name") == F.col("member")))
     prio = F.when(F.col("file").endswith(F.coalesce("path", F.lit("\u0000"))), 1).otherwise(2)
     found = j.withColumn("p", prio)

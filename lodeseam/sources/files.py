@@ -11,7 +11,6 @@ from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # fixed values: languages by suffix, and what is never read
 LANGUAGES = {".py": "python", ".pyw": "python", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".ts": "typescript", ".tsx": "typescript", ".java": "java", ".go": "go", ".rs": "rust", ".c": "cpp", ".h": "cpp", ".cpp": "cpp", ".hpp": "cpp", ".cc": "cpp", ".cxx": "cpp", ".cs": "csharp", ".php": "php", ".rb": "ruby"}
@@ -27,10 +26,14 @@ def ignore_condition(path: Column, patterns: list[str]) -> Column:
         if not p or p.startswith("#"):
             continue
         regex = "^" + re.sub(r"\\z|\\Z", "", fnmatch.translate(p.rstrip("/"))).replace("(?s:", "(?:") + "$"
-        out = out | (F.exists(folders, lambda f, r=regex: f.rlike(r)) if p.endswith("/") else path.rlike(regex) | name.rlike(regex))
+        out = out | (F.exists(folders, _like(regex)) if p.endswith("/") else path.rlike(regex) | name.rlike(regex))
     return out
 
 
+def _like(regex: str):  # noqa: ANN202
+    return lambda c: c.rlike(regex)
+
+
 def language_of(path: Column) -> Column:
     suffix = F.lower(F.regexp_extract(path, r"(\.[A-Za-z]+)$", 1))
     return F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])[suffix]
@@ -84,7 +87,7 @@ def constraints(texts: DataFrame) -> DataFrame:
     """(id, scope_dir, text, provenance, confirmed) from ``<!-- constraint[: provenance][ ok] -->`` blocks of (dir, text)."""
     parts = F.regexp_extract_all("text", F.lit(r"(<!--\s*constraint[^>]*-->\s*[^<]+)"), 1)
     one = texts.select(F.col("dir").alias("scope_dir"), F.explode(parts).alias("p"))
-    body = F.trim(F.regexp_replace("p", r"<!--[^>]*-->", ""))
+    body = F.regexp_replace(F.regexp_replace("p", r"<!--[^>]*-->", ""), r"^\s+|\s+$", "")
     rows = one.select("scope_dir", body.alias("text"), F.coalesce(F.nullif(F.regexp_extract("p", r"constraint:\s*(\w+)", 1), F.lit("")), F.lit("user")).alias("provenance"), F.col("p").rlike(r"\bok\s*-->").alias("confirmed"))
     return rows.dropDuplicates(["scope_dir", "text"]).withColumn("id", F.substring(F.sha1("text"), 1, 8))
 
@@ -148,7 +151,7 @@ def bloom_table(items: DataFrame, column: str, bits: int = 1 << 17, hashes: int
     """(word, mask): a Bloom filter as a table of 63-bit words; merged by ``bit_or``, read by ``maybe_in``."""
     places = F.array(*[F.pmod(F.xxhash64(F.lit(i), F.col(column)), F.lit(bits)) for i in range(hashes)])
     rows = items.select(F.explode(places).alias("p"))
-    return rows.groupBy((F.expr("p div 63")).alias("word")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), (F.col("p") % 63).cast("int"))).alias("mask"))
+    return rows.groupBy((F.expr("p div 63")).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(p % 63))")).alias("mask"))
 
 
 def maybe_in(items: DataFrame, column: str, bloom: DataFrame, bits: int = 1 << 17, hashes: int = 7) -> DataFrame:
@@ -168,6 +171,3 @@ def transcript_calls(runs: DataFrame) -> DataFrame:
     uses = turns.select("run", "turn", F.explode("t.uses").alias("u")).select("run", "turn", F.col("u.id").alias("id"), F.col("u.tool").alias("tool"))
     results = turns.select("run", F.explode("t.results").alias("r")).select("run", F.col("r.id").alias("id"), F.col("r.output").alias("output"))
     return uses.join(results, ["run", "id"], "left")
-
-
-SYMBOL = T.StructType.fromDDL("fqn string, file string, first int, last int, signature string, kind string, decorators array<string>, exported boolean, docstring string, parent string, bases array<string>, params array<string>, body string")
