@@ -41,6 +41,8 @@ from lodeseam.session import persisted, ship_package, small_batches
 SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Shared variants up to this many (some 64 MB) are sent to all executors; more are met by a shuffle.
 BROADCAST_KEYS = 2_000_000
+#: Document ids that keep_one sends at most.
+BROADCAST_IDS = 1_000_000
 #: The thirds of a fingerprint, as masks of what is left without them.
 _THIRDS = [((1 << 22) - 1) << 42, ((1 << 21) - 1) << 21, (1 << 21) - 1]
 
@@ -86,8 +88,8 @@ def _ball(x: Column, keep: int, tag: int = 0) -> Column:
     return F.transform(F.array(*[F.lit(_signed(f | tag)) for f in flips]), lambda f: x.bitwiseAND(F.lit(_signed(keep))).bitwiseXOR(f))
 
 
-def _sent(keys: DataFrame) -> DataFrame:
-    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+def _sent(keys: DataFrame, bound: int = BROADCAST_KEYS) -> DataFrame:
+    return F.broadcast(keys) if keys.count() <= bound else keys
 
 
 def spread_labels(spark: SparkSession, vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -147,13 +149,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with the document of the least id of each class alone; of rows that share it, one."""
+    """``docs`` with the document of the least id of each class alone; of rows that share it, one.
+
+    The ids that go are met with the texts: sent to all executors up to ``BROADCAST_IDS``, shuffled beyond.
+    """
     found = near_duplicates(spark, docs, id_col=id_col, text_col=text_col, shingle=shingle)
-    firsts = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__first")).count()
-    firsts = persisted(spark, firsts, "simhash-firsts")
-    same = docs[id_col].eqNullSafe(F.col("__first"))
-    kept = docs.join(firsts.where("count = 1"), same, "left_semi")
-    often = firsts.where("count > 1")
+    first = F.col(id_col).eqNullSafe(F.col("component_id")).cast("long")
+    per = persisted(spark, found.groupBy(F.col(id_col).alias("__id")).agg(F.sum(first).alias("__n")), "simhash-firsts")
+    same = docs[id_col].eqNullSafe(F.col("__id"))
+    often = per.where("__n > 1").select("__id")
+    kept = docs.join(_sent(per.where("__n <> 1").select("__id"), BROADCAST_IDS), same, "left_anti")
     if often.isEmpty():
         return kept
-    return kept.unionByName(docs.join(often, same, "left_semi").dropDuplicates([id_col]))
+    return kept.unionByName(docs.join(_sent(often, BROADCAST_IDS), same, "left_semi").dropDuplicates([id_col]))
