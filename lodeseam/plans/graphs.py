@@ -15,14 +15,14 @@ def graph_a(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).distinct()
 
 
-def graph_b(spark: SparkSession, d: str, parts: int = 40) -> DataFrame:
-    rows = table(spark, d, "lineitem").where(F.col("l_partkey") < parts).select("l_partkey", "l_suppkey", "l_returnflag")
+def graph_b(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag")
     etype = F.when(F.col("l_returnflag") == "R", "tests").when(F.col("l_returnflag") == "A", "raises").otherwise("calls")
     return rows.select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"), etype.alias("etype")).distinct()
 
 
 A = "ea AS (SELECT DISTINCT 'c' || o_custkey AS src, 's' || l_suppkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
-B = "eb AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst, CASE l_returnflag WHEN 'R' THEN 'tests' WHEN 'A' THEN 'raises' ELSE 'calls' END AS etype FROM lineitem WHERE l_partkey < 40)"
+B = "eb AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst, CASE l_returnflag WHEN 'R' THEN 'tests' WHEN 'A' THEN 'raises' ELSE 'calls' END AS etype FROM lineitem)"
 UNDIRECTED = "u AS (SELECT src, dst FROM eb UNION SELECT dst, src FROM eb)"
 
 

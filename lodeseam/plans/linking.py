@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from lodeseam.operators import link
 from lodeseam.plans.registry import query, table
 
-_SYM = "sy AS (SELECT p_brand || '::T' || (p_size % 7) || '.n' || (p_partkey % 400) AS fqn, p_brand AS file, 'T' || (p_size % 7) || '.n' || (p_partkey % 400) AS member, 'n' || (p_partkey % 400) AS name, p_partkey % 90 AS first, p_partkey % 90 + p_size AS last_line FROM part WHERE p_partkey % 4 = 0)"
+_SYM = "sy AS (SELECT p_brand || '::T' || (p_size % 7) || '.n' || (p_partkey % 400) AS fqn, p_brand AS file, 'T' || (p_size % 7) || '.n' || (p_partkey % 400) AS member, 'n' || (p_partkey % 400) AS name, p_partkey % 90 AS first, p_partkey % 90 + p_size AS last_line FROM part)"
 
 
 def symbols(spark: SparkSession, d: str) -> DataFrame:
     n = F.concat(F.lit("n"), F.col("p_partkey") % 400)
     member = F.concat(F.lit("T"), F.col("p_size") % 7, F.lit("."), n)
-    p = table(spark, d, "part").where("p_partkey % 4 = 0")
+    p = table(spark, d, "part")
     return p.select(F.concat("p_brand", F.lit("::"), member).alias("fqn"), F.col("p_brand").alias("file"), member.alias("member"), n.alias("name"), (F.col("p_partkey") % 90).alias("first"), (F.col("p_partkey") % 90 + F.col("p_size")).alias("last_line"))
 
 
@@ -26,23 +26,23 @@ def shortname_index(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "resolve_cascade",
     f"""WITH {_SYM}, sn AS (SELECT DISTINCT short, fqn AS dst, file AS dfile FROM (SELECT member AS short, fqn, file FROM sy UNION ALL SELECT name, fqn, file FROM sy)), cn AS (SELECT short, count(DISTINCT dst) AS n FROM sn GROUP BY short),
-    rf AS (SELECT DISTINCT p_brand AS file, 'n' || (p_partkey % 450) AS name FROM part WHERE p_partkey % 5 = 0),
+    rf AS (SELECT DISTINCT p_brand AS file, 'n' || (p_partkey % 450) AS name FROM part),
     j AS (SELECT rf.*, dst, CASE WHEN dst = file || '::' || name THEN 1 WHEN n = 1 THEN 2 WHEN file = dfile THEN 3 ELSE 4 END AS prio FROM rf JOIN sn ON short = name JOIN cn USING (short)),
     b AS (SELECT *, min(prio) OVER (PARTITION BY file, name) AS top FROM j), k AS (SELECT *, row_number() OVER (PARTITION BY file, name ORDER BY dst) AS k FROM b WHERE prio = top)
     SELECT file, name, dst, [1.0, 0.9, 0.95, 0.7][prio]::DOUBLE AS conf FROM k WHERE k <= CASE WHEN prio = 4 THEN 3 ELSE 1 END""",
 )
 def resolve_cascade(spark: SparkSession, d: str) -> DataFrame:
-    refs = table(spark, d, "part").where("p_partkey % 5 = 0").select(F.col("p_brand").alias("file"), F.concat(F.lit("n"), F.col("p_partkey") % 450).alias("name")).distinct()
+    refs = table(spark, d, "part").select(F.col("p_brand").alias("file"), F.concat(F.lit("n"), F.col("p_partkey") % 450).alias("name")).distinct()
     return link.resolve_names(refs, symbols(spark, d).dropDuplicates(["fqn"]))
 
 
 @query(
     "innermost_span",
-    f"""WITH {_SYM}, pt AS (SELECT DISTINCT p_brand AS path, p_partkey % 110 AS line FROM part WHERE p_partkey % 3 = 0), sp AS (SELECT DISTINCT file, fqn, first, last_line FROM sy)
+    f"""WITH {_SYM}, pt AS (SELECT DISTINCT p_brand AS path, p_partkey % 110 AS line FROM part), sp AS (SELECT DISTINCT file, fqn, first, last_line FROM sy)
     SELECT path, line, fqn AS span FROM (SELECT *, row_number() OVER (PARTITION BY path, line ORDER BY last_line - first, first DESC, fqn) AS n FROM pt JOIN sp ON path = file AND line BETWEEN first AND last_line) WHERE n = 1""",
 )
 def innermost_span(spark: SparkSession, d: str) -> DataFrame:
-    points = table(spark, d, "part").where("p_partkey % 3 = 0").select(F.col("p_brand").alias("path"), (F.col("p_partkey") % 110).alias("line")).distinct()
+    points = table(spark, d, "part").select(F.col("p_brand").alias("path"), (F.col("p_partkey") % 110).alias("line")).distinct()
     return link.innermost(points, symbols(spark, d).distinct(), "path", "line")
 
 
