@@ -2,8 +2,8 @@
 
 Terms are lower-cased words and their prefixes of 4 to 6 letters (written ``^abcd``), which stand for stems.  From a
 bounded sample of the labelled training rows (``max_examples`` of each class, the least hashes of their ids), the
-``max_terms`` terms that mark toxic rows most surely are taken (log-likelihood ratio, in at least ``min_docs`` of
-the sample's documents).  Every document becomes a vector of those terms, (1 + ln tf) times an IDF counted over
+``max_terms`` terms that mark toxic rows most surely are taken (log-likelihood ratio of at
+least twice the logarithm of the number of candidates, in at least ``min_docs`` of the sample's documents).  Every document becomes a vector of those terms, (1 + ln tf) times an IDF counted over
 all documents, of unit length.
 
 The sample's vectors are the labelled examples.  Their index holds, for each term, its postings and the greatest weight
@@ -198,16 +198,19 @@ def choose_terms(rows: DataFrame, max_terms: int, min_docs: int) -> list[str]:
     n_neg, n_pos = sizes.get(0, 0), sizes.get(1, 0)
     if not n_pos or not n_neg:
         return []
-    counts = rows.select("text", "y").mapInArrow(_count_terms, "term string, neg long, pos long").groupBy("term").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
+    df = F.col("pos") + F.col("neg")
+    counts = rows.select("text", "y").mapInArrow(_count_terms, "term string, neg long, pos long").groupBy("term").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")).where(df >= min_docs)
+    counts = persisted(rows.sparkSession, counts, "toxic-terms")
     n = float(n_pos + n_neg)
+    # Of many terms some mark a class by chance: the ratio asked for grows with the logarithm of their number.
+    least = max(MIN_LLR, 2 * math.log(max(1, counts.count())))
 
     def part(seen, size, total):  # noqa: ANN001, ANN202
         e = total * size / n
         return F.when(seen > 0, 2 * seen * F.log(seen / e)).otherwise(0.0)
 
-    df = F.col("pos") + F.col("neg")
     llr = part(F.col("pos"), n_pos, df) + part(F.col("neg"), n_neg, df) + part(n_pos - F.col("pos"), n_pos, n - df) + part(n_neg - F.col("neg"), n_neg, n - df)
-    good = counts.where((df >= min_docs) & (F.col("pos") * n_neg > F.col("neg") * n_pos)).withColumn("llr", llr).where(F.col("llr") >= MIN_LLR)
+    good = counts.where(F.col("pos") * n_neg > F.col("neg") * n_pos).withColumn("llr", llr).where(F.col("llr") >= least)
     return sorted(r["term"] for r in good.orderBy(F.desc("llr"), "term").limit(max_terms).select("term").collect())
 
 
