@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lodeseam.functions import rules
 from lodeseam.operators import graph
+from lodeseam.session import persisted
 
 
 def composite_score(distance: Column, hub: Column, complexity: Column, is_test: Column, exported: Column, same_file: Column, auto_ctor: Column, lexical: Column | None = None) -> Column:
@@ -98,10 +99,11 @@ def resolve(spark: SparkSession, queries: DataFrame, ranked: DataFrame, symbols:
     t = F.col("text")
     names = queries.select("query_id", F.explode(rules.candidate_names(t)).alias("name"), F.get(rules.intent_paths(t), F.lit(0)).alias("path"))
     entities = entity_matches(names, symbols)
+    entities = persisted(spark, entities, "resolve-entities")
     exact = entities.groupBy("query_id").agg(F.count("*").alias("n_exact"))
     asked = queries.withColumn("mode", rules.query_mode(t, F.size(rules.intent_paths(t)) > 0)).join(exact, "query_id", "left").fillna(0, ["n_exact"])
     pool = entities.select("query_id", "fqn", F.lit(0).cast("long").alias("rank"), F.lit(1.0).alias("s")).unionByName(ranked.select("query_id", "fqn", "rank", (F.col("score") / F.max("score").over(W.partitionBy("query_id"))).alias("s")))
-    targets = pool.groupBy("query_id", "fqn").agg(F.min("rank").alias("rank"), F.max("s").alias("lexical"))
+    targets = persisted(spark, pool.groupBy("query_id", "fqn").agg(F.min("rank").alias("rank"), F.max("s").alias("lexical")), "resolve-targets")
     grown = with_constructors(expand(spark, expansion_plan(asked, policy), targets, edges), symbols).join(targets.select("query_id", "fqn", "lexical"), ["query_id", "fqn"], "left")
     hub = graph.in_degree(edges).select(F.col("node").alias("fqn"), "hub")
     rows = grown.join(symbols, "fqn").join(hub, "fqn", "left")

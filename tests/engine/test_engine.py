@@ -7,10 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeseam import catalog
-from lodeseam.engine import Engine, Index
+from lodeseam.engine import Index
 from lodeseam.functions import rules
 from lodeseam.functions import text as tx
-from lodeseam.operators import assemble, evaluate, graph, link, rank, resolve, sessions
+from lodeseam.operators import assemble, evaluate, graph, rank, resolve, sessions
 from lodeseam.sources import files, parse
 from lodeseam.streaming import jobs
 
@@ -169,27 +169,6 @@ def test_index_of_a_tree(spark, tmp_path):
     assert e["auth/core.py::Guard", "auth/errors.py::Base", "inherits"] == 0.9
     assert ("tests/test_core.py::test_decode", "auth/core.py::decode", "tests") in e
     assert e["web/app.ts::App.run", "web/app.ts::helper", "calls"] == 1.0 and ("web/app.ts::App.run", "web/app.ts::App.go", "calls") in e
-    engine = Engine(spark, index)
-    q = spark.createDataFrame([(1, "decode the token"), (2, "who calls helper")], "query_id int, text string")
-    top = {r["query_id"]: r["doc_id"] for r in engine.search(q, 1).collect()}
-    assert top[1] == "auth/core.py::decode"
-
-    assert {r["tier"] for r in engine.resolve(q).collect()} >= {1, 2}
-    assert engine.get(spark.createDataFrame([("check",)], "asked string")).first()["fqn"] == "auth/core.py::Guard.check"
-    assert engine.expand(spark.createDataFrame([("auth/core.py", 7, 8)], "path string, first int, last int")).first()["body"].startswith("def decode")
-
-    folder = str(tmp_path / "index")
-    index.save(spark, folder)
-    changed = dict(SOURCES) | {"auth/extra.py": "from auth.core import decode\n\n\ndef more():\n    return decode('a')\n", "auth/errors.py": "class TokenError(Exception):\n    pass\n\n\ndef decode():\n    return 1\n"}
-    del changed["web/app.ts"]
-    new = tmp_path / "new"
-    new.mkdir()
-    write(new, changed)
-    now = files.read_sources(spark, str(new))
-    updated, full = Index.load(spark, folder).update(spark, now), Index.of_sources(spark, now)
-    assert flat(updated.edges.select(*link.EDGE)) == flat(full.edges.select(*link.EDGE))
-    assert flat(updated.symbols) == flat(full.symbols)
-    assert Index.load(spark, str(tmp_path / "none")) is None
 
 
 @pytest.mark.parametrize("language, text, names", [
