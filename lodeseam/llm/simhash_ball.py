@@ -16,8 +16,9 @@ Verified links join the components of round 1, and labels are spread again: each
 links of at most three bits.  (Emitting the two-bit ball, 2,081 variants, would meet all in one round, with 16 times the
 rows.)
 
-Labels spread by hooking and pointer jumping, a bounded number of joins on vertex ids in each round, with every
-round's labels written to the shared folder.
+Labels spread by hooking roots, pointer jumping until every label is a root, and carrying the edges between different
+roots into the next round: joins on vertex ids, as many as the logarithm of the vertices a round at most, with every
+step written to the shared folder.
 
 Defined results: texts with fewer words than a shingle are one shingle; texts without words, and nulls, have
 fingerprint zero and are linked like any other; a null id is a member of its class but never its name, unless the
@@ -94,22 +95,28 @@ def _sent(keys: DataFrame, bound: int = BROADCAST_KEYS) -> DataFrame:
 
 def spread_labels(spark: SparkSession, vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(v, label): the least vertex that each can reach.  ``vertices`` (v long, distinct), ``edges`` (a, b)."""
-    edges = persisted(spark, edges, "cc-edges")
-    labels = persisted(spark, vertices.select("v", F.col("v").alias("label")), "cc-labels")
-    while True:
-        la, lb = labels.select(F.col("v").alias("a"), F.col("label").alias("la")), labels.select(F.col("v").alias("b"), F.col("label").alias("lb"))
-        open_edges = persisted(spark, edges.join(la, "a").join(lb, "b").where("la <> lb").select("a", "b", "la", "lb"), "cc-open")
-        if open_edges.isEmpty():
-            return labels
-        edges = open_edges.select("a", "b")
-        least = F.least("la", "lb")
-        # Hook the roots of both ends, and the ends themselves, on the lesser label.
-        hooks = open_edges.select(F.explode(F.array("la", "lb", "a", "b")).alias("v"), least.alias("to")).groupBy("v").agg(F.min("to").alias("to"))
-        hooked = persisted(spark, labels.join(persisted(spark, hooks, "cc-hooks"), "v", "left").select("v", F.least("label", F.coalesce("to", "label")).alias("label")), "cc-hooked")
-        for _ in range(2):  # pointer jumping
-            up = hooked.select(F.col("v").alias("label"), F.col("label").alias("top"))
-            hooked = persisted(spark, hooked.join(up, "label").select("v", F.col("top").alias("label")), "cc-jumped")
-        labels = hooked
+    order = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+    edges = persisted(spark, edges.where("a <> b").select(*order("a", "b")).distinct(), "cc-edges")
+    labels = None  # of the vertices that have edges
+    while not edges.isEmpty():
+        # Each root with edges hooks on the least of itself and its neighbours.  Labels only fall, so there are no
+        # cycles; two rounds at least halve the roots with edges.
+        pairs = F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("a").alias("label")), F.struct(F.col("b").alias("v"), F.col("a").alias("label"))))
+        roots = persisted(spark, edges.select(pairs.alias("p")).select("p.*").groupBy("v").agg(F.min("label").alias("label")), "cc-hooked")
+        while True:  # pointer jumping, until all labels are roots
+            up = _sent(roots.select(F.col("v").alias("label"), F.col("label").alias("top")))
+            jumped = persisted(spark, roots.join(up, "label").select("v", F.col("top").alias("label"), (F.col("top") != F.col("label")).alias("moved")), "cc-jumped")
+            roots = jumped.select("v", "label")
+            if jumped.where("moved").isEmpty():
+                break
+        up = _sent(roots.select(F.col("v").alias("label"), F.col("label").alias("top")))
+        labels = roots if labels is None else persisted(spark, labels.join(up, "label", "left").select("v", F.coalesce("top", "label").alias("label")), "cc-labels")
+        # The edges between the roots' new roots: those within one are done with, as its vertices stay together.
+        la, lb = roots.select(F.col("v").alias("a"), F.col("label").alias("la")), roots.select(F.col("v").alias("b"), F.col("label").alias("lb"))
+        edges = persisted(spark, edges.join(_sent(la), "a").join(_sent(lb), "b").where("la <> lb").select(*order("la", "lb")).distinct(), "cc-edges")
+    if labels is None:
+        return vertices.select("v", F.col("v").alias("label"))
+    return persisted(spark, vertices.join(_sent(labels), "v", "left").select("v", F.coalesce("label", "v").alias("label")), "cc-labels")
 
 
 def classes(spark: SparkSession, fps: DataFrame) -> DataFrame:

@@ -100,6 +100,19 @@ def test_simhash_components_equal_brute_force(spark):
     assert all(found[signed[i]] == root(i) for i in range(len(fps)))
 
 
+def test_labels_spread_along_chains(spark):
+    r = random.Random(11)
+    chains = [[3, 9, 7, 5, 8, 10, 1]]
+    for k in range(1, 41):
+        chains.append([1000 * k + i for i in r.sample(range(150), 150)])
+    tree = [50_000 + i for i in r.sample(range(400), 400)]
+    pairs = [p for c in chains for p in zip(c, c[1:])] + [(tree[i], tree[r.randrange(i)]) for i in range(1, 400)]
+    expect = {v: min(c) for c in [*chains, tree] for v in c} | {-7: -7}
+    vertices = spark.createDataFrame([(v,) for v in expect], "v long")
+    found = simhash_ball.spread_labels(spark, vertices, spark.createDataFrame(pairs, "a long, b long"))
+    assert {r["v"]: r["label"] for r in found.collect()} == expect
+
+
 # ---- html
 
 def test_html():
