@@ -1,15 +1,15 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Terms are lower-cased words and their prefixes of 4 to 6 letters (written ``^abcd``), which stand for stems.  From a
-bounded sample of the labelled training rows (``max_examples`` of each class, the least hashes of their ids), the
-``max_terms`` terms that mark toxic rows most surely are taken (log-likelihood ratio of at
-least twice the logarithm of the number of candidates, in at least ``min_docs`` of the sample's documents).  Every document becomes a vector of those terms, (1 + ln tf) times an IDF counted over
-all documents, of unit length.
+bounded sample of the labelled training rows (``max_examples`` of each class, the least hashes of their ids), all terms
+in at least ``min_docs`` (one) of the sample's documents are taken.  Every document becomes a vector of those terms, of
+unit length: (1 + ln tf) times an IDF counted over all documents, times one more than the log-likelihood ratio of the
+term and the label in the sample, which leaves no term out.
 
-The sample's vectors are the labelled examples.  Their index holds, for each term, its postings and the greatest weight
-of every block of ``BLOCK`` examples (ordered so that like vectors stand together).  A document bounds each block by
-the dot product with the blocks' greatest weights, scores the blocks of the greatest bounds, and then every block
-whose bound reaches the k-th best score so far: the k nearest are exact (ties: the lesser example number).
+The sample's vectors are the labelled examples.  Their index holds, for each term, the greatest weight of every block of
+``BLOCK`` examples that has it (ordered so that like vectors stand together).  A document bounds each block by the dot
+product with the blocks' greatest weights, and scores blocks by falling bound until none left reaches the k-th best
+score so far: the k nearest are exact (ties: the lesser example number).
 
 Votes are weighted by cosine, and by class so that the sample stands for all training rows.  A vote's calibrated score is
 the toxic share among the training examples with a like vote, each judged by the others (leave one out), made
@@ -23,6 +23,7 @@ repeated rows are scored alike; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -36,9 +37,9 @@ from pyspark.sql import functions as F
 from lodeseam.llm.bytes_text import alnum_words
 from lodeseam.session import persisted, ship_package, small_batches
 
-#: Bounds of the sample (rows of each class), of the terms, and of the words a worker remembers.
-MAX_EXAMPLES, MAX_TERMS, MIN_DOCS, HELD_WORDS, HELD_TERMS = 8192, 2048, 3, 400_000, 300_000
-NEAREST, BLOCK, MIN_LLR = 25, 64, 12.0
+#: Bounds of the sample (rows of each class), and of the words a worker remembers.
+MAX_EXAMPLES, MIN_DOCS, HELD_WORDS, HELD_TERMS = 8192, 1, 100_000, 300_000
+NEAREST, BLOCK = 25, 64
 PREFIXES = (4, 5, 6)
 
 
@@ -52,10 +53,10 @@ def words_of(text: str | None) -> list[bytes]:
 
 @dataclass
 class Model:
-    """What is sent to the workers: terms, IDF, examples and calibration; bounded by the parameters above."""
+    """What is sent to the workers: terms, their weights, examples and calibration; bounded as the sample is."""
 
     terms: list[str]
-    idf: np.ndarray
+    idf: np.ndarray  # times the terms' class weight
     rows: list[tuple[int, np.ndarray, np.ndarray, int]]  # id, term numbers, term counts, label
     class_weight: tuple[float, float]
     base: float = 0.0  # toxic share of all training rows
@@ -75,71 +76,81 @@ class BlockMaxIndex:
         self.order = np.array([i for _, _, i in sorted(lead)], np.int64)
         self.block, self.n = block, len(vectors)
         self.blocks = -(-self.n // block)
-        self.peak = np.zeros((n_terms, self.blocks), np.float64)
-        posts: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
-        for slot, i in enumerate(self.order.tolist()):
-            for t, w in zip(vectors[i][0].tolist(), vectors[i][1].tolist(), strict=True):
-                posts[t].append((slot, w))
-                self.peak[t, slot // block] = max(self.peak[t, slot // block], w)
-        self.slots = [np.array([s for s, _ in p], np.int64) for p in posts]
-        self.weights = [np.array([w for _, w in p], np.float64) for p in posts]
+        rows = [vectors[i] for i in self.order.tolist()]
+        self.starts = np.concatenate(([0], np.cumsum([len(t) for t, _ in rows])))
+        self.terms = np.concatenate([t for t, _ in rows]).astype(np.int32)
+        self.weights = np.concatenate([w for _, w in rows])
+        # The greatest weight of each term in each block that has it, by term.
+        tops = []
+        for b in range(self.blocks):
+            a, z = self.starts[b * block], self.starts[min(self.n, (b + 1) * block)]
+            found, at = np.unique(self.terms[a:z], return_inverse=True)
+            top = np.zeros(len(found))
+            np.maximum.at(top, at, self.weights[a:z])
+            tops.append((found, np.full(len(found), b, np.int32), top))
+        found, blocks, peaks = (np.concatenate(x) for x in zip(*tops, strict=True))
+        by_term = np.argsort(found, kind="stable")
+        self.peak_blocks, self.peaks = blocks[by_term], peaks[by_term]
+        self.peak_starts = np.searchsorted(found[by_term], np.arange(n_terms + 1))
+        self.dense = np.zeros(n_terms)
+
+    def bounds(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """No example of a block has a greater dot product than this."""
+        a, n = self.peak_starts[terms], self.peak_starts[terms + 1] - self.peak_starts[terms]
+        at = np.arange(n.sum()) + np.repeat(a - np.concatenate(([0], np.cumsum(n)[:-1])), n)
+        return np.bincount(self.peak_blocks[at], np.repeat(weights, n) * self.peaks[at], self.blocks)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The numbers and cosines of the k nearest with a cosine over 0, by falling cosine, then number."""
-        bound = weights @ self.peak[terms]
-        done = np.zeros(self.blocks, bool)
-        first = np.argsort(-bound, kind="stable")[: -(-k // self.block) + 1]
-        done[first[bound[first] > 0]] = True
-        score = self._scored(terms, weights, done)
-        found = score[score > 0]
-        if len(found) >= k:
-            least = np.partition(found, len(found) - k)[len(found) - k]
-            more = (bound >= least - 1e-12) & ~done
-        else:
-            more = (bound > 0) & ~done
-        if more.any():
-            score += self._scored(terms, weights, more)
+        bound = self.bounds(terms, weights)
+        by_bound = np.argsort(-bound, kind="stable")
+        by_bound = by_bound[bound[by_bound] > 0].tolist()
+        score, least, at, step = np.zeros(self.n), 0.0, 0, -(-k // self.block) + 1
+        self.dense[terms] = weights
+        while at < len(by_bound) and bound[by_bound[at]] >= least - 1e-9:
+            for b in by_bound[at : at + step]:
+                if bound[b] >= least - 1e-9:
+                    self._score(b, score)
+            at += step
+            if (score > 0).sum() >= k:
+                least = np.partition(score, self.n - k)[self.n - k]
+        self.dense[terms] = 0
         hit = np.flatnonzero(score > 0)
         keep = np.lexsort((self.order[hit], -np.round(score[hit], 12)))[:k]
         return self.order[hit[keep]], score[hit[keep]]
 
-    def _scored(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-        """Dot products with the examples of some blocks; 0 elsewhere."""
-        score = np.zeros(self.n)
-        for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-            slots = self.slots[t]
-            mine = blocks[slots // self.block]
-            score[slots[mine]] += w * self.weights[t][mine]
-        return score
+    def _score(self, b: int, score: np.ndarray) -> None:
+        """Dot products of the dense vector with the examples of a block."""
+        lo, hi = b * self.block, min(self.n, (b + 1) * self.block)
+        a, z = self.starts[lo], self.starts[hi]
+        score[lo:hi] = np.add.reduceat(self.dense[self.terms[a:z]] * self.weights[a:z], self.starts[lo:hi] - a)
 
 
 class Scorer:
-    def __init__(self, model: Model, nearest: int = NEAREST) -> None:
+    def __init__(self, model: Model, nearest: int = NEAREST, index: bool = True) -> None:
         self.model, self.k = model, nearest
         self.examples = [(i, t, weigh(model, t, c), y) for i, t, c, y in model.rows if len(t)]
-        self.index = BlockMaxIndex([(t, w) for _, t, w, _ in self.examples], len(model.terms)) if self.examples else None
+        self.index = BlockMaxIndex([(t, w) for _, t, w, _ in self.examples], len(model.terms)) if self.examples and index else None
         self.ids = np.array([i for i, *_ in self.examples], np.int64)
         self.labels = np.array([y for *_, y in self.examples], np.int64)
         self.votes = np.where(self.labels == 1, model.class_weight[1], model.class_weight[0])
         self.seen: dict[bytes, tuple[float, list[int], list[float]]] = {}
-        self.lists: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
 
     def vote(self, terms: np.ndarray, weights: np.ndarray, without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        key = terms.tobytes() + weights.tobytes()
-        if key not in self.lists:
-            if len(self.lists) > 50_000:
-                self.lists.clear()
-            self.lists[key] = self.index.nearest(terms, weights, self.k + 1)
-        near, cos = self.lists[key]
+        near, cos = self.index.nearest(terms, weights, self.k + 1)
         near, cos = near[near != without][: self.k], cos[near != without][: self.k]
         w = cos * self.votes[near]
         # One example's worth of the base rate keeps few, far neighbours from deciding all.
         prior = float(np.mean(self.votes[near])) * 0.05 if len(near) else 1.0
         return float(((w * self.labels[near]).sum() + prior * self.model.base) / (w.sum() + prior)), near, cos
 
-    def calibrate(self) -> None:
+    def vote_without(self, n: int) -> float:
+        """The vote on example ``n`` by the others."""
+        return self.vote(*self.examples[n][1:3], n)[0]
+
+    def calibrate(self, votes: np.ndarray) -> None:
+        """From the votes on all examples, each by the others."""
         m = self.model
-        votes = np.array([self.vote(t, w, n)[0] for n, (_, t, w, _) in enumerate(self.examples)]) if self.examples else np.zeros(0)
         order = np.argsort(votes, kind="stable")
         stack: list[list[float]] = []  # weight, toxic weight, least vote, greatest vote
         for v, y, w in zip(votes[order].tolist(), self.labels[order].tolist(), self.votes[order].tolist(), strict=True):
@@ -156,7 +167,7 @@ class Scorer:
     def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[int], list[float]]:
         if not len(terms) or self.index is None:
             return self.model.bare, [], []
-        key = terms.tobytes() + counts.tobytes()
+        key = hashlib.blake2b(terms.tobytes() + counts.tobytes(), digest_size=16).digest()
         if key not in self.seen:
             vote, near, cos = self.vote(terms, weigh(self.model, terms, counts))
             if len(self.seen) > 50_000:
@@ -192,26 +203,60 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def choose_terms(rows: DataFrame, max_terms: int, min_docs: int) -> list[str]:
-    """The terms of ``rows`` (text, y) that mark label 1 most surely; at most ``max_terms`` reach the driver."""
+def sample_terms(rows: DataFrame, min_docs: int) -> tuple[list[str], np.ndarray]:
+    """All terms of ``rows`` (text, y) in ``min_docs`` of them, and their weight: 1 + log-likelihood ratio with label 1."""
     sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     n_neg, n_pos = sizes.get(0, 0), sizes.get(1, 0)
-    if not n_pos or not n_neg:
-        return []
-    df = F.col("pos") + F.col("neg")
-    counts = rows.select("text", "y").mapInArrow(_count_terms, "term string, neg long, pos long").groupBy("term").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")).where(df >= min_docs)
-    counts = persisted(rows.sparkSession, counts, "toxic-terms")
-    n = float(n_pos + n_neg)
-    # Of many terms some mark a class by chance: the ratio asked for grows with the logarithm of their number.
-    least = max(MIN_LLR, 2 * math.log(max(1, counts.count())))
+    counts = rows.select("text", "y").mapInArrow(_count_terms, "term string, neg long, pos long").groupBy("term").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")).where(F.col("pos") + F.col("neg") >= min_docs)
+    found = counts.toArrow().sort_by("term")  # bounded as the sample is
+    pos, neg = found["pos"].to_numpy().astype(np.float64), found["neg"].to_numpy().astype(np.float64)
+    df, n = pos + neg, float(n_pos + n_neg)
+
+    def part(seen: np.ndarray, size: int, total: np.ndarray) -> np.ndarray:
+        return 2 * seen * np.log(np.where(seen > 0, seen, 1) / np.where(seen > 0, total * size / n, 1)) if n else seen
+
+    llr = part(pos, n_pos, df) + part(neg, n_neg, df) + part(n_pos - pos, n_pos, n - df) + part(n_neg - neg, n_neg, n - df)
+    return found["term"].to_pylist(), 1 + np.maximum(0, llr)
+
 
-    def part(seen, size, total):  # noqa: ANN001, ANN202
-        e = total * size / n
-        return F.when(seen > 0, 2 * seen * F.log(seen / e)).otherwise(0.0)
+def document_counts(spark: SparkSession, docs: DataFrame, terms: list[str]) -> tuple[int, np.ndarray]:
+    """The number of documents, and of those that have each term; a task sends one row for each term it met."""
+    sent = spark.sparkContext.broadcast(terms)
 
-    llr = part(F.col("pos"), n_pos, df) + part(F.col("neg"), n_neg, df) + part(n_pos - F.col("pos"), n_pos, n - df) + part(n_neg - F.col("neg"), n_neg, n - df)
-    good = counts.where(F.col("pos") * n_neg > F.col("neg") * n_pos).withColumn("llr", llr).where(F.col("llr") >= least)
-    return sorted(r["term"] for r in good.orderBy(F.desc("llr"), "term").limit(max_terms).select("term").collect())
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n = np.zeros(len(sent.value), np.int64), 0
+        for _, keys, _ in _numbered(sent.value, batches):
+            for k in keys:
+                df[k] += 1
+            n += len(keys)
+        met = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([*met.tolist(), -1], pa.int32()), pa.array([*df[met].tolist(), n], pa.int64())], names=["t", "n"])
+
+    found = docs.select("id", "text").mapInArrow(work, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    t, n = found["t"].to_numpy(), found["n"].to_numpy()
+    df = np.zeros(len(terms), np.int64)
+    df[t[t >= 0]] = n[t >= 0]
+    return int(n[t < 0].sum()), df
+
+
+def _numbered(terms: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[np.ndarray], list[np.ndarray]]]:
+    """Of each batch (id, text) the ids, and of each row the term numbers, ascending, and their counts."""
+    number = {t: i for i, t in enumerate(terms)}
+    known: dict[bytes, list[int]] = {}
+    for batch in batches:
+        all_terms, all_counts = [], []
+        for text in batch.column(1):
+            hits: list[int] = []
+            for w in words_of(text.as_py()):
+                if (hit := known.get(w)) is None:
+                    if len(known) > HELD_WORDS:
+                        known.clear()
+                    hit = known[w] = [number[t] for t in terms_of(w.decode("utf-8", "replace")) if t in number]
+                hits += hit
+            keys, counts = np.unique(np.array(hits, np.int64), return_counts=True)
+            all_terms.append(keys)
+            all_counts.append(counts)
+        yield batch.column(0), all_terms, all_counts
 
 
 def term_vectors(spark: SparkSession, docs: DataFrame, terms: list[str]) -> DataFrame:
@@ -219,56 +264,55 @@ def term_vectors(spark: SparkSession, docs: DataFrame, terms: list[str]) -> Data
     sent = spark.sparkContext.broadcast(terms)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = {t: i for i, t in enumerate(sent.value)}
-        known: dict[bytes, list[int]] = {}
-        for batch in batches:
-            all_terms, all_counts = [], []
-            for text in batch.column(1):
-                counts: Counter[int] = Counter()
-                for w in words_of(text.as_py()):
-                    if (hit := known.get(w)) is None:
-                        if len(known) > HELD_WORDS:
-                            known.clear()
-                        hit = known[w] = [number[t] for t in terms_of(w.decode("utf-8", "replace")) if t in number]
-                    if hit:
-                        counts.update(hit)
-                keys = sorted(counts)
-                all_terms.append(keys)
-                all_counts.append([counts[k] for k in keys])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(all_terms, pa.list_(pa.int32())), pa.array(all_counts, pa.list_(pa.int32()))], names=["id", "terms", "counts"])
+        for ids, terms, counts in _numbered(sent.value, batches):
+            yield pa.RecordBatch.from_arrays([ids, pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], names=["id", "terms", "counts"])
 
     return docs.select(F.col("id"), "text").mapInArrow(work, "id long, terms array<int>, counts array<int>")
 
 
-def train_and_score(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS, min_docs: int = MIN_DOCS, nearest: int = NEAREST) -> DataFrame:
+def train_and_score(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = MAX_EXAMPLES, min_docs: int = MIN_DOCS, nearest: int = NEAREST) -> DataFrame:
     """id, score, evidence ids and evidence cosines of every row of ``docs``; all of ``labels`` may be learnt from."""
     ship_package(spark)
     small_batches(spark)
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     sample = persisted(spark, training_rows(labels, label_col, id_col, max_examples), "toxic-sample")
     fit = persisted(spark, slim.join(F.broadcast(sample), "id"), "toxic-fit")  # at most 2 x max_examples ids
-    terms = choose_terms(fit, max_terms, min_docs)
-    vectors = persisted(spark, term_vectors(spark, slim, terms), "toxic-vectors")
-    n = vectors.count()
-    df = {r["t"]: r["count"] for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect()}  # as many as terms
-    idf = np.array([math.log((1 + n) / (1 + df.get(t, 0))) + 1 for t in range(len(terms))])
-    examples = vectors.join(F.broadcast(sample), "id").dropDuplicates(["id"]).collect()  # bounded as the sample is
+    terms, marks = sample_terms(fit.dropDuplicates(["id"]), min_docs)
+    n, df = document_counts(spark, slim, terms)
+    idf = (np.log((1 + n) / (1 + df)) + 1) * marks
+    examples = term_vectors(spark, fit.dropDuplicates(["id"]), terms).join(F.broadcast(sample), "id").toArrow()  # bounded as the sample is
     totals = {r["y"]: r["count"] for r in labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col)).agg(F.max(F.col(label_col).cast("int")).alias("y")).groupBy("y").count().collect()}
-    rows = sorted(((r["id"], np.array(r["terms"], np.int64), np.array(r["counts"], np.float64), r["y"]) for r in examples), key=lambda r: r[0])
+    of = lambda c: [x.values.to_numpy() for x in examples[c]]
+    rows = sorted(zip(examples["id"].to_pylist(), of("terms"), of("counts"), examples["y"].to_pylist(), strict=True), key=lambda r: r[0])
     taken = Counter(y for *_, y in rows)
     weight = tuple(totals.get(y, 0) / taken[y] if taken[y] else 0.0 for y in (0, 1))
     both = sum(totals.values())
     model = Model(terms, idf, rows, weight, totals.get(1, 0) / both if both else 0.0)
-    scorer = Scorer(model, nearest)
     if rows:
-        scorer.calibrate()
+        Scorer(model, nearest, index=False).calibrate(_leave_one_out(spark, model, nearest))
     sent = spark.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Scorer(sent.value, nearest)
-        for batch in batches:
-            out = [judge.score(np.array(t, np.int64), np.array(c, np.float64)) for t, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _, _ in out], pa.float64()), pa.array([e for _, e, _ in out], pa.list_(pa.int64())), pa.array([c for _, _, c in out], pa.list_(pa.float64()))], names=["id", "score", "evidence", "cosines"])
+        for ids, terms, counts in _numbered(judge.model.terms, batches):
+            out = [judge.score(t, c) for t, c in zip(terms, counts, strict=True)]
+            yield pa.RecordBatch.from_arrays([ids, pa.array([s for s, _, _ in out], pa.float64()), pa.array([e for _, e, _ in out], pa.list_(pa.int64())), pa.array([c for _, _, c in out], pa.list_(pa.float64()))], names=["id", "score", "evidence", "cosines"])
 
-    scored = vectors.mapInArrow(work, "id long, score double, evidence array<long>, cosines array<double>")
+    scored = slim.mapInArrow(work, "id long, score double, evidence array<long>, cosines array<double>")
     return scored.withColumnRenamed("id", id_col)
+
+
+def _leave_one_out(spark: SparkSession, model: Model, nearest: int) -> np.ndarray:
+    """The votes on all examples, each by the others."""
+    sent = spark.sparkContext.broadcast(model)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = None
+        for batch in batches:
+            judge = judge or Scorer(sent.value, nearest)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([judge.vote_without(n) for n in batch.column(0).to_pylist()], pa.float64())], names=["id", "vote"])
+
+    n = sum(1 for _, t, _, _ in model.rows if len(t))
+    parts = max(1, min(spark.sparkContext.defaultParallelism, n // 64))
+    votes = spark.range(0, n, 1, parts).mapInArrow(work, "id long, vote double").toArrow().sort_by("id")
+    return votes["vote"].to_numpy()

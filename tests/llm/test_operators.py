@@ -57,6 +57,16 @@ def test_toxicity_learns_and_scores_all(spark, docs, none):
     assert {r["score"] for r in toxicity_knn.train_and_score(spark, docs, labels.limit(0)).collect()} == {0.0}
 
 
+def test_toxicity_keeps_terms_that_no_class_owns(spark):
+    docs = spark.createDataFrame([(i, f"meadow lantern w{i % 4} " + ("vile scum" if i % 4 == 0 else "calm river")) for i in range(40)] + [(90, "lantern"), (91, "river"), (92, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(40)], "doc_id long, toxic int")
+    out = {r["doc_id"]: r for r in toxicity_knn.train_and_score(spark, docs, labels).collect()}
+    assert out[90]["evidence"] and out[91]["evidence"] and not out[92]["evidence"]
+    assert out[91]["score"] < 0.3 and all((out[i]["score"] >= 0.3) == (i % 4 == 0) for i in range(40))
+    some = toxicity_knn.sample_terms(docs.join(labels, "doc_id").selectExpr("doc_id AS id", "text", "toxic AS y"), 1)[0]
+    assert {"meadow", "lantern", "calm", "river", "vile", "w3"} <= set(some)
+
+
 # ---- near duplicates
 
 def brute_fingerprint(text):
