@@ -7,7 +7,8 @@ multiplication; paths whose fused value reaches the page's threshold (a share of
 content, and a short path (such as a heading) between content nodes of the same parent is content with them.
 Texts on paths through an element that never holds an article (navigation, header and footer of the page, forms,
 scripts) or whose class, id or role names menus, adverts, notices, sidebars or comments are out before that.
-Inside an ``article`` or ``main`` element every path that isn't out is content.
+A path inside an ``article`` or ``main`` element counts one more punctuation mark for each text: its fused value is
+raised, and decides like any other.
 
 Output: character references are decoded, white space within a block becomes one space, blocks are trimmed and
 joined by a newline in page order.
@@ -142,10 +143,11 @@ def main_text(page: str | None) -> str:
     blocks = [(path, inside, text, linked) for path, out, inside, text, linked in blocks_of(page) if not out]
     if not blocks:
         return ""
-    if any(inside for _, inside, _, _ in blocks):
-        return "\n".join(text for _, inside, text, _ in blocks if inside)
     sums: dict[tuple[str, ...], list[float]] = defaultdict(lambda: [0, 0, 0, 0])
-    for path, _, text, linked in blocks:
+    raised = set()
+    for path, inside, text, linked in blocks:
+        if inside:
+            raised.add(path)
         s = sums[path]
         s[0] += len(text) - linked
         s[1] += 1
@@ -159,7 +161,7 @@ def main_text(page: str | None) -> str:
     for p, s in sums.items():
         near = sum(family[p[:-1]]) / len(family[p[:-1]])
         smooth = 0.75 * raw[p] + 0.25 * near
-        fused[p] = smooth * (s[2] / s[1]) * (1 - s[3] / max(1, s[0] + s[3]))
+        fused[p] = smooth * (s[2] / s[1] + (p in raised)) * (1 - s[3] / max(1, s[0] + s[3]))
     total = sum(s[0] + s[3] for s in sums.values())
     mean = sum(fused[p] * (s[0] + s[3]) for p, s in sums.items()) / max(1, total)
     good = {p for p, v in fused.items() if v > 0 and v >= THRESHOLD * mean}

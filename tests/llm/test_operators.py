@@ -134,6 +134,14 @@ def test_html():
     assert html_paths.main_text("<div><p>" * 3000 + "x, y." + "</div>") == "x, y."
 
 
+def test_html_ratios_run_beside_articles():
+    body = "A long sentence, with marks. " * 9
+    page = f"<body><article class=card><p>Next story</article><div><p>{body}<p>{body}</div><article class=card><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></article>"
+    assert html_paths.main_text(page) == "\n".join([body.strip()] * 2)
+    inside = f"<body><article><h1>Title</h1><p>{body}<p>Short.<ul><li><a href=1>One</a><li><a href=2>Two</a></ul></article>"
+    assert html_paths.main_text(inside) == f"Title\n{body.strip()}\nShort."
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>a<p>b</article>", "m"), (None, None, None, None)], "page_id long, url string, html string, main_text string")
     assert got(html_paths.extract_main_text(spark, pages), "page_id", "url", "main_text") == Counter({(1, "u", "a\nb"): 1, (None, None, ""): 1})
