@@ -11,7 +11,7 @@ A path inside an ``article`` or ``main`` element counts one more punctuation mar
 raised, and decides like any other.
 
 Output: character references are decoded, white space within a block becomes one space, blocks are trimmed and
-joined by a newline in page order.
+joined in page order, by a newline unless told otherwise (``joined_by``).
 
 Defined results: null html gives an empty text; unclosed and stray tags are repaired as browsers do for paragraphs,
 list items and table cells; a page without content gives an empty text; repeated rows are read alike, each by itself;
@@ -137,7 +137,7 @@ def blocks_of(page: str) -> Iterator[tuple[tuple[str, ...], bool, bool, str, int
         yield block
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, joined_by: str = "\n") -> str:
     if not page:
         return ""
     blocks = [(path, inside, text, linked) for path, out, inside, text, linked in blocks_of(page) if not out]
@@ -176,10 +176,10 @@ def main_text(page: str | None) -> str:
         between = first < i < last and p[:-1] in parents and linked * 2 < len(text)
         if p in good or heading or between:
             kept.append(text)
-    return "\n".join(kept)
+    return joined_by.join(kept)
 
 
-def extract_main_text(spark: SparkSession, pages: DataFrame, html_col: str = "html") -> DataFrame:
+def extract_main_text(spark: SparkSession, pages: DataFrame, html_col: str = "html", joined_by: str = "\n") -> DataFrame:
     """The other columns of ``pages`` with main_text in place of the html."""
     ship_package(spark)
     small_batches(spark)
@@ -188,7 +188,7 @@ def extract_main_text(spark: SparkSession, pages: DataFrame, html_col: str = "ht
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(x.as_py()) for x in batch.column(batch.num_columns - 1)]
+            texts = [main_text(x.as_py(), joined_by) for x in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=batch.schema.names)
 
     return rows.mapInArrow(work, T.StructType([*rows.schema.fields[:-1], T.StructField("main_text", T.StringType())]))

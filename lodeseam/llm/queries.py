@@ -47,7 +47,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = html_paths.extract_main_text(spark, _table(spark, sf_dir, "pages"))
+    out = html_paths.extract_main_text(spark, _table(spark, sf_dir, "pages"), joined_by="\n\n")
     return out.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
 
 

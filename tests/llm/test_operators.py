@@ -148,6 +148,13 @@ def test_html_rows(spark):
     assert html_paths.extract_main_text(spark, pages.limit(0)).count() == 0
 
 
+def test_html_query_joins_blocks_by_two_newlines(spark, tmp_path):
+    from lodeseam.llm.queries import op3_html
+
+    spark.createDataFrame([(1, "u", "<article><p>a.<p>b.</article>"), (2, "v", None)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert got(op3_html(spark, str(tmp_path)), "page_id", "url", "text", "n_chars") == Counter({(1, "u", "a.\n\nb.", 6): 1, (2, "v", "", 0): 1})
+
+
 # ---- mixing
 
 def test_mix_budgets_and_prefixes(spark, docs, rows, none):
