@@ -78,7 +78,7 @@ class BlockMaxIndex:
         self.blocks = -(-self.n // block)
         rows = [vectors[i] for i in self.order.tolist()]
         self.starts = np.concatenate(([0], np.cumsum([len(t) for t, _ in rows])))
-        self.terms = np.concatenate([t for t, _ in rows]).astype(np.int32)
+        self.terms = np.concatenate([t for t, _ in rows])
         self.weights = np.concatenate([w for _, w in rows])
         # The greatest weight of each term in each block that has it, by term.
         tops = []
