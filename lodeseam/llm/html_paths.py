@@ -38,6 +38,8 @@ _HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|aria-hidden\s*=\s*["']?
 _SPACES = re.compile(r"\s+")
 # Elements whose text is not markup, and is never content.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "object", "xmp", "noembed"}
+# Those that reach to the end of the page where no end tag follows; of others the start tag alone is skipped.
+TO_END = {"script", "style", "textarea", "title"}
 # Elements without an end tag.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 # Elements that begin a block.
@@ -114,9 +116,14 @@ def blocks_of(page: str) -> Iterator[tuple[tuple[str, ...], bool, bool, str, int
                 if tag not in BLOCK and stack[i][0] in BLOCK:
                     break
             continue
+        if tag == "svg" and m[3].endswith("/"):
+            continue
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else end
+            if close:
+                at = close.end()
+            elif tag in TO_END:
+                at = end
             continue
         if tag in VOID:
             continue

@@ -142,6 +142,13 @@ def test_html_ratios_run_beside_articles():
     assert html_paths.main_text(inside) == f"Title\n{body.strip()}\nShort."
 
 
+def test_html_raw_elements_without_end_tag():
+    for raw in ("<svg class=i />", "<svg/><svg><path/></svg>", "<iframe src=x>", "<object data=x>"):
+        assert html_paths.main_text(f"<body>{raw}<article><p>One, two.</article>") == "One, two."
+    assert html_paths.main_text("<svg/><article><p>One, two.</article><svg><text>no</text></svg>") == "One, two."
+    assert html_paths.main_text("<article><p>One, two.</article><script>var a = '<p>no, no.'") == "One, two."
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>a<p>b</article>", "m"), (None, None, None, None)], "page_id long, url string, html string, main_text string")
     assert got(html_paths.extract_main_text(spark, pages), "page_id", "url", "main_text") == Counter({(1, "u", "a\nb"): 1, (None, None, ""): 1})
