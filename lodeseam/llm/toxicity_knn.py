@@ -1,24 +1,26 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are lower-cased words and their prefixes of 4 to 6 letters (written ``^abcd``), which stand for stems.  From a
-bounded sample of the labelled training rows (``max_examples`` of each class, the least hashes of their ids), all terms
-in at least ``min_docs`` (one) of the sample's documents are taken.  Every document becomes a vector of those terms, of
-unit length: (1 + ln tf) times an IDF counted over all documents, times one more than the log-likelihood ratio of the
-term and the label in the sample, which leaves no term out.
-
-The sample's vectors are the labelled examples.  Their index holds, for each term, the greatest weight of every block of
-``BLOCK`` examples that has it (ordered so that like vectors stand together).  A document bounds each block by the dot
-product with the blocks' greatest weights, and scores blocks by falling bound until none left reaches the k-th best
-score so far: the k nearest are exact (ties: the lesser example number).
-
-Votes are weighted by cosine, and by class so that the sample stands for all training rows.  A vote's calibrated score is
-the toxic share among the training examples with a like vote, each judged by the others (leave one out), made
-monotone by pooling adjacent violators.  A document without any term shares no example; its score is the toxic
-share of the training examples without terms.  The nearest examples and their cosines are the evidence.
-
-Defined results: a null or empty text has no terms; rows without a label are scored all the same; a document id that
-``labels`` repeats takes its greatest label, null labels count as none; without training rows every score is 0;
-repeated rows are scored alike; an empty table gives an empty result.
+The labelled examples are a bounded sample of the training rows (``max_examples`` of each class, the least hashes of
+their ids); their words, all of them, are the terms.  A text's vector holds for each of its terms (1 + ln tf) times the
+term's IDF, counted over all documents, times the term's class weight: 1, and for terms that lean to label 1 in the
+sample one more than the log-likelihood ratio of term and label.  Vectors have unit length over the terms; words that no
+example has would add nothing to any dot product.
+
+Examples stand in blocks of ``BLOCK``, like ones together.  The index holds the postings by term and block, and for each
+(term, block) the greatest weight.  A text's dot product with these bounds every block; the blocks of the highest bounds
+are scored first, then in one more pass all blocks whose bound reaches the k-th best score so far.  The k nearest
+are exact (ties: the lesser example number, by id).
+
+Votes are weighted by cosine, and by class so that the sample stands for all training rows.  A row that is itself an
+example is judged by the others.  A vote's calibrated score is the toxic share among the examples with a like vote, each
+judged by the others, made monotone by pooling adjacent violators.  A text that shares no term with the examples gets
+the toxic share among the examples that share none with the others, and one row of the base rate.  The nearest examples
+and their cosines are the evidence.
+
+Defined results: a null or empty text has no terms; rows without a label are scored all the same; an id that ``labels``
+repeats takes its greatest label, one that ``docs`` repeats stands in the sample with its least text, null labels and ids
+count as none; without training rows every score is 0; repeated rows are scored alike; ids may be of any type; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,196 +29,182 @@ import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodeseam.llm.bytes_text import alnum_words
 from lodeseam.session import persisted, ship_package, small_batches
 
-#: Bounds of the sample (rows of each class), and of the words a worker remembers.
-MAX_EXAMPLES, MIN_DOCS, HELD_WORDS, HELD_TERMS = 8192, 1, 100_000, 300_000
-NEAREST, BLOCK = 25, 64
-PREFIXES = (4, 5, 6)
-
-
-def terms_of(word: str) -> list[str]:
-    return [word, *("^" + word[:n] for n in PREFIXES if len(word) >= n)]
+#: Bounds: rows of each class in the sample; votes that a worker remembers for copies of a text.
+MAX_EXAMPLES, HELD_VOTES = 2048, 20_000
+NEAREST, BLOCK, EVIDENCE = 15, 64, 3
+#: The base rate weighs as much as this share of one example, so that few, far neighbours don't decide all.
+PRIOR = 0.05
 
 
 def words_of(text: str | None) -> list[bytes]:
     return alnum_words((text or "").lower().encode("utf-8", "replace"))
 
 
-@dataclass
-class Model:
-    """What is sent to the workers: terms, their weights, examples and calibration; bounded as the sample is."""
-
-    terms: list[str]
-    idf: np.ndarray  # times the terms' class weight
-    rows: list[tuple[int, np.ndarray, np.ndarray, int]]  # id, term numbers, term counts, label
-    class_weight: tuple[float, float]
-    base: float = 0.0  # toxic share of all training rows
-    bare: float = 0.0  # of those without terms
-    steps: np.ndarray | None = None  # calibration: votes and their scores
-    values: np.ndarray | None = None
-
-
-def weigh(model: Model, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    w = (1 + np.log(counts)) * model.idf[terms]
-    return w / math.sqrt(float((w * w).sum()))
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers starts[i], ..., starts[i] + sizes[i] - 1 of every i, one range after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
 
 
 class BlockMaxIndex:
+    """Postings of unit vectors by (term, block), with the greatest weight of each such pair."""
+
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK) -> None:
-        lead = [(int(t[np.argmax(w)]), -float(w.max()), i) for i, (t, w) in enumerate(vectors)]
-        self.order = np.array([i for _, _, i in sorted(lead)], np.int64)
-        self.block, self.n = block, len(vectors)
-        self.blocks = -(-self.n // block)
+        lead = [(int(t[np.argmax(w)]) if len(t) else n_terms, i) for i, (t, w) in enumerate(vectors)]
+        self.order = np.array([i for _, i in sorted(lead)], np.int64)  # example number at each place
+        self.n, self.blocks = len(vectors), -(-len(vectors) // block)
         rows = [vectors[i] for i in self.order.tolist()]
-        self.starts = np.concatenate(([0], np.cumsum([len(t) for t, _ in rows])))
-        self.terms = np.concatenate([t for t, _ in rows])
-        self.weights = np.concatenate([w for _, w in rows])
-        # The greatest weight of each term in each block that has it, by term.
-        tops = []
-        for b in range(self.blocks):
-            a, z = self.starts[b * block], self.starts[min(self.n, (b + 1) * block)]
-            found, at = np.unique(self.terms[a:z], return_inverse=True)
-            top = np.zeros(len(found))
-            np.maximum.at(top, at, self.weights[a:z])
-            tops.append((found, np.full(len(found), b, np.int32), top))
-        found, blocks, peaks = (np.concatenate(x) for x in zip(*tops, strict=True))
-        by_term = np.argsort(found, kind="stable")
-        self.peak_blocks, self.peaks = blocks[by_term], peaks[by_term]
-        self.peak_starts = np.searchsorted(found[by_term], np.arange(n_terms + 1))
-        self.dense = np.zeros(n_terms)
-
-    def bounds(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """No example of a block has a greater dot product than this."""
-        a, n = self.peak_starts[terms], self.peak_starts[terms + 1] - self.peak_starts[terms]
-        at = np.arange(n.sum()) + np.repeat(a - np.concatenate(([0], np.cumsum(n)[:-1])), n)
-        return np.bincount(self.peak_blocks[at], np.repeat(weights, n) * self.peaks[at], self.blocks)
+        place = np.repeat(np.arange(self.n), [len(t) for t, _ in rows])
+        terms = np.concatenate([np.zeros(0, np.int64), *[t for t, _ in rows]])
+        weights = np.concatenate([np.zeros(0), *[w for _, w in rows]])
+        by_term = np.lexsort((place, terms))
+        self.place, self.weights = place[by_term].astype(np.int32), weights[by_term]
+        pair = terms[by_term] * self.blocks + self.place // block
+        first = np.flatnonzero(np.diff(pair, prepend=-1))
+        self.pair_starts = np.append(first, len(pair))
+        self.pair_block = (pair[first] % max(1, self.blocks)).astype(np.int32)
+        self.peaks = np.maximum.reduceat(self.weights, first) if len(first) else np.zeros(0)
+        self.term_starts = np.searchsorted(pair[first] // max(1, self.blocks), np.arange(n_terms + 1))
+        self.scored = 0  # blocks scored so far, for tests and tuning
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The numbers and cosines of the k nearest with a cosine over 0, by falling cosine, then number."""
-        bound = self.bounds(terms, weights)
-        by_bound = np.argsort(-bound, kind="stable")
-        by_bound = by_bound[bound[by_bound] > 0].tolist()
-        score, least, at, step = np.zeros(self.n), 0.0, 0, -(-k // self.block) + 1
-        self.dense[terms] = weights
-        while at < len(by_bound) and bound[by_bound[at]] >= least - 1e-9:
-            for b in by_bound[at : at + step]:
-                if bound[b] >= least - 1e-9:
-                    self._score(b, score)
-            at += step
-            if (score > 0).sum() >= k:
-                least = np.partition(score, self.n - k)[self.n - k]
-        self.dense[terms] = 0
+        sizes = self.term_starts[terms + 1] - self.term_starts[terms]
+        pairs, w = _ranges(self.term_starts[terms], sizes), np.repeat(weights, sizes)
+        at = self.pair_block[pairs]
+        bound = np.bincount(at, w * self.peaks[pairs], self.blocks)
+        score, least = np.zeros(self.n), 0.0
+        lead = min(self.blocks, -(-2 * k // BLOCK) + 1)
+        take = np.zeros(self.blocks, bool)
+        take[np.argpartition(-bound, lead - 1)[:lead]] = True
+        self._score(score, pairs, w, take[at])
+        if (score > 0).sum() >= k:
+            least = np.partition(score, self.n - k)[self.n - k]
+        rest = ~take & (bound > 0) & (bound >= least - 1e-9)
+        if rest.any():
+            self._score(score, pairs, w, rest[at])
+        self.scored += int(take.sum() + rest.sum())
         hit = np.flatnonzero(score > 0)
+        if len(hit) > 4 * k:  # leave those that ties can't bring back
+            hit = hit[score[hit] >= np.partition(score[hit], len(hit) - k)[len(hit) - k] - 1e-9]
         keep = np.lexsort((self.order[hit], -np.round(score[hit], 12)))[:k]
         return self.order[hit[keep]], score[hit[keep]]
 
-    def _score(self, b: int, score: np.ndarray) -> None:
-        """Dot products of the dense vector with the examples of a block."""
-        lo, hi = b * self.block, min(self.n, (b + 1) * self.block)
-        a, z = self.starts[lo], self.starts[hi]
-        score[lo:hi] = np.add.reduceat(self.dense[self.terms[a:z]] * self.weights[a:z], self.starts[lo:hi] - a)
-
-
-class Scorer:
-    def __init__(self, model: Model, nearest: int = NEAREST, index: bool = True) -> None:
-        self.model, self.k = model, nearest
-        self.examples = [(i, t, weigh(model, t, c), y) for i, t, c, y in model.rows if len(t)]
-        self.index = BlockMaxIndex([(t, w) for _, t, w, _ in self.examples], len(model.terms)) if self.examples and index else None
-        self.ids = np.array([i for i, *_ in self.examples], np.int64)
-        self.labels = np.array([y for *_, y in self.examples], np.int64)
-        self.votes = np.where(self.labels == 1, model.class_weight[1], model.class_weight[0])
-        self.seen: dict[bytes, tuple[float, list[int], list[float]]] = {}
-
-    def vote(self, terms: np.ndarray, weights: np.ndarray, without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        near, cos = self.index.nearest(terms, weights, self.k + 1)
-        near, cos = near[near != without][: self.k], cos[near != without][: self.k]
+    def _score(self, score: np.ndarray, pairs: np.ndarray, w: np.ndarray, chosen: np.ndarray) -> None:
+        """Adds the whole dot products of the chosen blocks' examples; terms in ascending order in any case."""
+        pairs = pairs[chosen]
+        sizes = self.pair_starts[pairs + 1] - self.pair_starts[pairs]
+        at = _ranges(self.pair_starts[pairs], sizes)
+        score += np.bincount(self.place[at], np.repeat(w[chosen], sizes) * self.weights[at], self.n)
+
+
+class Judge:
+    """The fitted examples, as they are sent to the workers; bounded as the sample is."""
+
+    def __init__(self, terms: list[str], factor: np.ndarray, ids: list, vectors: list[tuple[np.ndarray, np.ndarray]], labels: list[int], totals: tuple[int, int], nearest: int = NEAREST) -> None:
+        self.terms, self.factor, self.ids, self.k = terms, factor, ids, nearest
+        self.vectors = [(t, self.weigh(t, c)) for t, c in vectors]
+        self.labels = np.array(labels, np.int64)
+        taken = Counter(labels)
+        self.votes = np.array([totals[y] / taken[y] for y in labels])
+        self.base = totals[1] / sum(totals) if sum(totals) else 0.0
+        self.index = BlockMaxIndex(self.vectors, len(terms))
+        self.number = self.example = self.seen = None  # made where they are used
+
+    def weigh(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        w = (1 + np.log(counts)) * self.factor[terms]
+        return w / math.sqrt(float((w * w).sum())) if len(w) else w
+
+    def vote(self, terms: np.ndarray, weights: np.ndarray, without: int = -1) -> tuple[float | None, np.ndarray, np.ndarray]:
+        """The toxic share of the neighbours' votes (None without neighbours), the neighbours and their cosines."""
+        near, cos = self.index.nearest(terms, weights, self.k + 1) if len(terms) and self.ids else (np.zeros(0, np.int64), np.zeros(0))
+        cos, near = cos[near != without][: self.k], near[near != without][: self.k]
+        if not len(near):
+            return None, near, cos
         w = cos * self.votes[near]
-        # One example's worth of the base rate keeps few, far neighbours from deciding all.
-        prior = float(np.mean(self.votes[near])) * 0.05 if len(near) else 1.0
-        return float(((w * self.labels[near]).sum() + prior * self.model.base) / (w.sum() + prior)), near, cos
+        prior = float(np.mean(self.votes[near])) * PRIOR
+        return float(((w * self.labels[near]).sum() + prior * self.base) / (w.sum() + prior)), near, cos
 
-    def vote_without(self, n: int) -> float:
+    def vote_without(self, n: int) -> float | None:
         """The vote on example ``n`` by the others."""
-        return self.vote(*self.examples[n][1:3], n)[0]
+        return self.vote(*self.vectors[n], n)[0]
 
-    def calibrate(self, votes: np.ndarray) -> None:
-        """From the votes on all examples, each by the others."""
-        m = self.model
-        order = np.argsort(votes, kind="stable")
+    def calibration(self, votes: list[float | None]) -> tuple[np.ndarray, np.ndarray, float]:
+        """Votes and their scores, and the score without a vote, from the votes on all examples."""
+        known = sorted((v, n) for n, v in enumerate(votes) if v is not None)
         stack: list[list[float]] = []  # weight, toxic weight, least vote, greatest vote
-        for v, y, w in zip(votes[order].tolist(), self.labels[order].tolist(), self.votes[order].tolist(), strict=True):
-            stack.append([w, w * y, v, v])
+        for v, n in known:
+            w = float(self.votes[n])
+            stack.append([w, w * int(self.labels[n]), v, v])
             while len(stack) > 1 and (stack[-2][1] / stack[-2][0] >= stack[-1][1] / stack[-1][0] or stack[-2][3] == stack[-1][2]):
                 w2, y2, _, hi = stack.pop()
                 stack[-1] = [stack[-1][0] + w2, stack[-1][1] + y2, stack[-1][2], hi]
-        m.steps = np.array([x for s in stack for x in (s[2], s[3])])
-        m.values = np.array([s[1] / s[0] for s in stack for _ in range(2)])
-        bare = [(m.class_weight[y], y) for _, t, _, y in m.rows if not len(t)]
-        total = sum(w for w, _ in bare)
-        m.bare = (sum(w * y for w, y in bare) + m.base) / (total + 1) if bare else m.base
-
-    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[int], list[float]]:
-        if not len(terms) or self.index is None:
-            return self.model.bare, [], []
-        key = hashlib.blake2b(terms.tobytes() + counts.tobytes(), digest_size=16).digest()
-        if key not in self.seen:
-            vote, near, cos = self.vote(terms, weigh(self.model, terms, counts))
-            if len(self.seen) > 50_000:
+        alone = [n for n, v in enumerate(votes) if v is None]
+        no_vote = (float((self.votes[alone] * self.labels[alone]).sum()) + self.base) / (float(self.votes[alone].sum()) + 1)
+        return np.array([x for s in stack for x in (s[2], s[3])]), np.array([s[1] / s[0] for s in stack for _ in range(2)]), no_vote
+
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of a text's terms, ascending, and how often it has each."""
+        if self.number is None:
+            self.number = {t.encode("utf-8"): i for i, t in enumerate(self.terms)}
+        find = self.number.get
+        return np.unique(np.array([n for w in words_of(text) if (n := find(w)) is not None], np.int64), return_counts=True)
+
+    def score(self, row_id: object, text: str | None, steps: np.ndarray, values: np.ndarray, no_vote: float) -> tuple[float, list, list[float]]:
+        if self.example is None:
+            self.example, self.seen = {x: n for n, x in enumerate(self.ids)}, {}
+        terms, counts = self.counts(text)
+        own = self.example.get(row_id, -1)
+        key = (own, hashlib.blake2b(terms.tobytes() + counts.tobytes(), digest_size=16).digest())
+        if (found := self.seen.get(key)) is None:
+            vote, near, cos = self.vote(terms, self.weigh(terms, counts), own)
+            score = no_vote if vote is None or not len(steps) else float(np.interp(vote, steps, values))
+            found = score, [self.ids[n] for n in near[:EVIDENCE].tolist()], [round(float(c), 6) for c in cos[:EVIDENCE]]
+            if len(self.seen) >= HELD_VOTES:
                 self.seen.clear()
-            self.seen[key] = (float(np.interp(vote, self.model.steps, self.model.values)), self.ids[near[:3]].tolist(), [round(float(c), 6) for c in cos[:3]])
-        return self.seen[key]
+            self.seen[key] = found
+        return found
+
 
+def training_rows(labels: DataFrame, label_col: str, id_col: str) -> DataFrame:
+    """id and y of all rows that may be learnt from."""
+    known = F.col(f"`{label_col}`").isNotNull() & F.col(f"`{id_col}`").isNotNull()
+    return labels.where(known).groupBy(F.col(f"`{id_col}`").alias("id")).agg(F.max(F.col(f"`{label_col}`").cast("int")).alias("y"))
 
-def training_rows(labels: DataFrame, label_col: str, id_col: str, max_examples: int) -> DataFrame:
-    """id and y of the sample: of each class the rows with the least hashes, ``max_examples`` at most."""
-    rows = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
+
+def choose_examples(rows: DataFrame, max_examples: int) -> DataFrame:
+    """Of each class the rows with the least hashes, ``max_examples`` at most."""
     order = [F.xxhash64("id"), F.col("id")]
     return rows.where("y = 1").orderBy(*order).limit(max_examples).unionByName(rows.where("y = 0").orderBy(*order).limit(max_examples))
 
 
-def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: dict[str, list[int]] = {}
+def class_weights(vectors: list[tuple[np.ndarray, np.ndarray]], labels: list[int], n_terms: int) -> np.ndarray:
+    """1, and for terms that lean to label 1 one more than their log-likelihood ratio with it."""
+    y = np.array(labels)
+    n_pos, n_neg = int((y == 1).sum()), int((y == 0).sum())
+    n = float(n_pos + n_neg)
 
-    def flush() -> pa.RecordBatch:
-        both = np.array(list(counts.values()), np.int64).reshape(-1, 2)
-        out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(both[:, 0]), pa.array(both[:, 1])], names=["term", "neg", "pos"])
-        counts.clear()
-        return out
+    def docs_with(label: int) -> np.ndarray:
+        return np.bincount(np.concatenate([np.zeros(0, np.int64), *[t for (t, _), x in zip(vectors, labels, strict=True) if x == label]]), minlength=n_terms).astype(float)
 
-    for batch in batches:
-        for text, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            seen = {t for w in set(words_of(text.as_py())) for t in terms_of(w.decode("utf-8", "replace"))}
-            for t in seen:
-                counts.setdefault(t, [0, 0])[y] += 1
-            if len(counts) >= HELD_TERMS:
-                yield flush()
-    if counts:
-        yield flush()
-
-
-def sample_terms(rows: DataFrame, min_docs: int) -> tuple[list[str], np.ndarray]:
-    """All terms of ``rows`` (text, y) in ``min_docs`` of them, and their weight: 1 + log-likelihood ratio with label 1."""
-    sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
-    n_neg, n_pos = sizes.get(0, 0), sizes.get(1, 0)
-    counts = rows.select("text", "y").mapInArrow(_count_terms, "term string, neg long, pos long").groupBy("term").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")).where(F.col("pos") + F.col("neg") >= min_docs)
-    found = counts.toArrow().sort_by("term")  # bounded as the sample is
-    pos, neg = found["pos"].to_numpy().astype(np.float64), found["neg"].to_numpy().astype(np.float64)
-    df, n = pos + neg, float(n_pos + n_neg)
+    pos, neg = docs_with(1), docs_with(0)
+    df = pos + neg
 
     def part(seen: np.ndarray, size: int, total: np.ndarray) -> np.ndarray:
-        return 2 * seen * np.log(np.where(seen > 0, seen, 1) / np.where(seen > 0, total * size / n, 1)) if n else seen
+        return 2 * seen * np.log(np.where(seen > 0, seen, 1) / np.where(seen > 0, total * size / max(n, 1), 1))
 
     llr = part(pos, n_pos, df) + part(neg, n_neg, df) + part(n_pos - pos, n_pos, n - df) + part(n_neg - neg, n_neg, n - df)
-    return found["term"].to_pylist(), 1 + np.maximum(0, llr)
+    return 1 + np.where((pos + 0.5) / (n_pos + 1) > (neg + 0.5) / (n_neg + 1), np.maximum(0, llr), 0)
 
 
 def document_counts(spark: SparkSession, docs: DataFrame, terms: list[str]) -> tuple[int, np.ndarray]:
@@ -224,95 +212,76 @@ def document_counts(spark: SparkSession, docs: DataFrame, terms: list[str]) -> t
     sent = spark.sparkContext.broadcast(terms)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(len(sent.value), np.int64), 0
-        for _, keys, _ in _numbered(sent.value, batches):
-            for k in keys:
-                df[k] += 1
-            n += len(keys)
+        number = {t.encode("utf-8"): i for i, t in enumerate(sent.value)}
+        df, n = np.zeros(len(number), np.int64), 0
+        for batch in batches:
+            found = [i for text in batch.column(0) for w in set(words_of(text.as_py())) if (i := number.get(w)) is not None]
+            df += np.bincount(np.array(found, np.int64), minlength=len(df))
+            n += batch.num_rows
         met = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array([*met.tolist(), -1], pa.int32()), pa.array([*df[met].tolist(), n], pa.int64())], names=["t", "n"])
 
-    found = docs.select("id", "text").mapInArrow(work, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    found = docs.select("text").mapInArrow(work, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
     t, n = found["t"].to_numpy(), found["n"].to_numpy()
     df = np.zeros(len(terms), np.int64)
     df[t[t >= 0]] = n[t >= 0]
     return int(n[t < 0].sum()), df
 
 
-def _numbered(terms: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[np.ndarray], list[np.ndarray]]]:
-    """Of each batch (id, text) the ids, and of each row the term numbers, ascending, and their counts."""
+def fit(spark: SparkSession, slim: DataFrame, rows: DataFrame, max_examples: int, nearest: int = NEAREST) -> Judge:
+    """The judge learnt from ``rows`` (id, y) and the texts of ``slim`` (id, text)."""
+    rows = persisted(spark, rows, "toxic-rows")
+    totals = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    sample = choose_examples(rows, max_examples)  # at most 2 x max_examples ids
+    texts = slim.join(F.broadcast(sample), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+    found = sorted(texts.mapInArrow(_word_counts, T.StructType([*texts.schema.fields[:2], *T.StructType.fromDDL("words array<string>, counts array<int>").fields])).collect(), key=lambda r: r["id"])
+    terms = sorted({w for r in found for w in r["words"]})
     number = {t: i for i, t in enumerate(terms)}
-    known: dict[bytes, list[int]] = {}
-    for batch in batches:
-        all_terms, all_counts = [], []
-        for text in batch.column(1):
-            hits: list[int] = []
-            for w in words_of(text.as_py()):
-                if (hit := known.get(w)) is None:
-                    if len(known) > HELD_WORDS:
-                        known.clear()
-                    hit = known[w] = [number[t] for t in terms_of(w.decode("utf-8", "replace")) if t in number]
-                hits += hit
-            keys, counts = np.unique(np.array(hits, np.int64), return_counts=True)
-            all_terms.append(keys)
-            all_counts.append(counts)
-        yield batch.column(0), all_terms, all_counts
-
-
-def term_vectors(spark: SparkSession, docs: DataFrame, terms: list[str]) -> DataFrame:
-    """id, terms (numbers, ascending) and counts of every document."""
-    sent = spark.sparkContext.broadcast(terms)
+    vectors, labels = [], [r["y"] for r in found]
+    for r in found:
+        t, c = np.array([number[w] for w in r["words"]], np.int64), np.array(r["counts"], np.int64)
+        by_term = np.argsort(t)
+        vectors.append((t[by_term], c[by_term]))
+    n, df = document_counts(spark, slim, terms)
+    factor = (np.log((1 + n) / (1 + df)) + 1) * class_weights(vectors, labels, len(terms))
+    return Judge(terms, factor, [r["id"] for r in found], vectors, labels, (totals.get(0, 0), totals.get(1, 0)), nearest)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, terms, counts in _numbered(sent.value, batches):
-            yield pa.RecordBatch.from_arrays([ids, pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], names=["id", "terms", "counts"])
 
-    return docs.select(F.col("id"), "text").mapInArrow(work, "id long, terms array<int>, counts array<int>")
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [Counter(w.decode("utf-8", "replace") for w in words_of(text.as_py())) for text in batch.column(2)]
+        words, counts = pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), words, counts], names=["id", "y", "words", "counts"])
 
 
-def train_and_score(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = MAX_EXAMPLES, min_docs: int = MIN_DOCS, nearest: int = NEAREST) -> DataFrame:
+def train_and_score(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = MAX_EXAMPLES, nearest: int = NEAREST) -> DataFrame:
     """id, score, evidence ids and evidence cosines of every row of ``docs``; all of ``labels`` may be learnt from."""
     ship_package(spark)
     small_batches(spark)
-    slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    sample = persisted(spark, training_rows(labels, label_col, id_col, max_examples), "toxic-sample")
-    fit = persisted(spark, slim.join(F.broadcast(sample), "id"), "toxic-fit")  # at most 2 x max_examples ids
-    terms, marks = sample_terms(fit.dropDuplicates(["id"]), min_docs)
-    n, df = document_counts(spark, slim, terms)
-    idf = (np.log((1 + n) / (1 + df)) + 1) * marks
-    examples = term_vectors(spark, fit.dropDuplicates(["id"]), terms).join(F.broadcast(sample), "id").toArrow()  # bounded as the sample is
-    totals = {r["y"]: r["count"] for r in labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col)).agg(F.max(F.col(label_col).cast("int")).alias("y")).groupBy("y").count().collect()}
-    of = lambda c: [x.values.to_numpy() for x in examples[c]]
-    rows = sorted(zip(examples["id"].to_pylist(), of("terms"), of("counts"), examples["y"].to_pylist(), strict=True), key=lambda r: r[0])
-    taken = Counter(y for *_, y in rows)
-    weight = tuple(totals.get(y, 0) / taken[y] if taken[y] else 0.0 for y in (0, 1))
-    both = sum(totals.values())
-    model = Model(terms, idf, rows, weight, totals.get(1, 0) / both if both else 0.0)
-    if rows:
-        Scorer(model, nearest, index=False).calibrate(_leave_one_out(spark, model, nearest))
-    sent = spark.sparkContext.broadcast(model)
+    slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    sent = spark.sparkContext.broadcast(fit(spark, slim, training_rows(labels, label_col, id_col), max_examples, nearest))
+    scale = sent.value.calibration(_leave_one_out(spark, sent, len(sent.value.ids)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Scorer(sent.value, nearest)
-        for ids, terms, counts in _numbered(judge.model.terms, batches):
-            out = [judge.score(t, c) for t, c in zip(terms, counts, strict=True)]
-            yield pa.RecordBatch.from_arrays([ids, pa.array([s for s, _, _ in out], pa.float64()), pa.array([e for _, e, _ in out], pa.list_(pa.int64())), pa.array([c for _, _, c in out], pa.list_(pa.float64()))], names=["id", "score", "evidence", "cosines"])
+        judge = sent.value
+        for batch in batches:
+            ids = batch.column(0)
+            out = [judge.score(i, t.as_py(), *scale) for i, t in zip(ids.to_pylist(), batch.column(1), strict=True)]
+            yield pa.RecordBatch.from_arrays([ids, pa.array([s for s, _, _ in out], pa.float64()), pa.array([e for _, e, _ in out], pa.list_(ids.type)), pa.array([c for _, _, c in out], pa.list_(pa.float64()))], names=["id", "score", "evidence", "cosines"])
 
-    scored = slim.mapInArrow(work, "id long, score double, evidence array<long>, cosines array<double>")
-    return scored.withColumnRenamed("id", id_col)
+    id_type = slim.schema["id"].dataType
+    schema = T.StructType([T.StructField("id", id_type), T.StructField("score", T.DoubleType()), T.StructField("evidence", T.ArrayType(id_type)), T.StructField("cosines", T.ArrayType(T.DoubleType()))])
+    return slim.mapInArrow(work, schema).withColumnRenamed("id", id_col)
 
 
-def _leave_one_out(spark: SparkSession, model: Model, nearest: int) -> np.ndarray:
-    """The votes on all examples, each by the others."""
-    sent = spark.sparkContext.broadcast(model)
+def _leave_one_out(spark: SparkSession, sent: object, n: int) -> list[float | None]:
+    """The votes on all examples, each by the others; dealt out, since each takes as long as a document."""
+    if not n:
+        return []
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = None
         for batch in batches:
-            judge = judge or Scorer(sent.value, nearest)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([judge.vote_without(n) for n in batch.column(0).to_pylist()], pa.float64())], names=["id", "vote"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sent.value.vote_without(i) for i in batch.column(0).to_pylist()], pa.float64())], names=["id", "vote"])
 
-    n = sum(1 for _, t, _, _ in model.rows if len(t))
     parts = max(1, min(spark.sparkContext.defaultParallelism, n // 64))
-    votes = spark.range(0, n, 1, parts).mapInArrow(work, "id long, vote double").toArrow().sort_by("id")
-    return votes["vote"].to_numpy()
+    return spark.range(0, n, 1, parts).mapInArrow(work, "id long, vote double").toArrow().sort_by("id")["vote"].to_pylist()

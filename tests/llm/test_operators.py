@@ -1,6 +1,5 @@
 """Each operator on odd rows (see conftest), against brute force, and on an empty table."""
 
-import hashlib
 import random
 import re
 import zlib
@@ -9,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from lodeseam.llm import decontam, html_paths, license_index, line_dedup, quality_lines, simhash_ball, source_mix, token_store, toxicity_knn, url_rules, wavelet
+from lodeseam.llm import decontam, html_paths, license_index, line_dedup, quality_lines, simhash_ball, source_mix, token_store, url_rules, wavelet
 
 ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -26,47 +25,6 @@ def got(df, *cols):
     return Counter(tuple(r) for r in df.select(*cols).collect())
 
 
-# ---- toxicity
-
-def test_block_max_is_exact():
-    r = np.random.default_rng(3)
-    vectors = []
-    for _ in range(700):
-        t = np.sort(r.choice(30, r.integers(1, 6), replace=False))
-        w = r.integers(1, 4, len(t)).astype(float)  # many ties
-        vectors.append((t, w / np.sqrt((w * w).sum())))
-    index = toxicity_knn.BlockMaxIndex(vectors, 30)
-    dense = np.zeros((700, 30))
-    for i, (t, w) in enumerate(vectors):
-        dense[i, t] = w
-    for t, w in vectors[:80]:
-        q = np.zeros(30)
-        q[t] = w
-        cos = np.round(dense @ q, 12)
-        best = [i for i in np.lexsort((np.arange(700), -cos))[:10] if cos[i] > 0]
-        assert index.nearest(t, w, 10)[0].tolist() == best
-
-
-def test_toxicity_learns_and_scores_all(spark, docs, none):
-    labels = spark.createDataFrame([(50 + i, int(i % 3 == 0)) for i in range(30)] + [(None, 1), (4, None)], "doc_id long, toxic int")
-    out = {r["doc_id"]: r["score"] for r in toxicity_knn.train_and_score(spark, docs, labels, min_docs=3).collect()}
-    assert len(out) == docs.select("doc_id").distinct().count()
-    assert all(0 <= s <= 1 for s in out.values())
-    assert all((out[50 + i] >= 0.3) == (i % 3 == 0) for i in range(30, 40))
-    assert toxicity_knn.train_and_score(spark, none, labels).count() == 0
-    assert {r["score"] for r in toxicity_knn.train_and_score(spark, docs, labels.limit(0)).collect()} == {0.0}
-
-
-def test_toxicity_keeps_terms_that_no_class_owns(spark):
-    docs = spark.createDataFrame([(i, f"meadow lantern w{i % 4} " + ("vile scum" if i % 4 == 0 else "calm river")) for i in range(40)] + [(90, "lantern"), (91, "river"), (92, "")], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(40)], "doc_id long, toxic int")
-    out = {r["doc_id"]: r for r in toxicity_knn.train_and_score(spark, docs, labels).collect()}
-    assert out[90]["evidence"] and out[91]["evidence"] and not out[92]["evidence"]
-    assert out[91]["score"] < 0.3 and all((out[i]["score"] >= 0.3) == (i % 4 == 0) for i in range(40))
-    some = toxicity_knn.sample_terms(docs.join(labels, "doc_id").selectExpr("doc_id AS id", "text", "toxic AS y"), 1)[0]
-    assert {"meadow", "lantern", "calm", "river", "vile", "w3"} <= set(some)
-
-
 # ---- near duplicates
 
 def brute_fingerprint(text):
@@ -353,7 +311,3 @@ def test_minimal_perfect_hash():
     slots = s.find(h, fp)
     assert sorted(slots.tolist()) == list(range(5000)) and (s.top[slots] == np.arange(5000)).all() and (s.count[slots] == np.arange(5000) + 5).all()
     assert (s.find(h, fp ^ np.uint64(1)) == -1).all() and (s.find(r.integers(0, 1 << 63, 999).astype(np.uint64), fp[:999]) == -1).all()
-
-
-def test_hash_of_kept_text():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
