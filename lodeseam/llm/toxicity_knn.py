@@ -9,7 +9,7 @@ example has would add nothing to any dot product.
 Examples stand in blocks of ``BLOCK``, like ones together.  The index holds the postings by term and block, and for each
 (term, block) the greatest weight.  A text's dot product with these bounds every block; the blocks of the highest bounds
 are scored first, then in one more pass all blocks whose bound reaches the k-th best score so far.  The k nearest
-are exact (ties: the lesser example number, by id).
+are exact (ties: the lesser example number, by id; cosines that agree to 12 digits are equal).
 
 Votes are weighted by cosine, and by class so that the sample stands for all training rows.  A row that is itself an
 example is judged by the others.  A vote's calibrated score is the toxic share among the examples with a like vote, each
@@ -28,7 +28,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +42,8 @@ from lodeseam.session import persisted, ship_package, small_batches
 #: Bounds: rows of each class in the sample; votes that a worker remembers for copies of a text.
 MAX_EXAMPLES, HELD_VOTES = 2048, 20_000
 NEAREST, BLOCK, EVIDENCE = 15, 64, 3
+#: At most so many terms, each in more than one of so many examples, stand in the index's table; queries of one product.
+TABLE_TERMS, TABLE_SHARE, QUERIES = 1024, 20, 256
 #: The base rate weighs as much as this share of one example, so that few, far neighbours don't decide all.
 PRIOR = 0.05
 
@@ -57,55 +59,85 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class BlockMaxIndex:
-    """Postings of unit vectors by (term, block), with the greatest weight of each such pair."""
+    """Unit vectors of non-negative weights in blocks; postings by (term, block), with the greatest weight of each.
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK) -> None:
+    The most frequent terms, whose postings hold most examples of nearly every block, stand in a table instead: their
+    part of all dot products is one matrix product for many queries, and its maximum in a block is part of the bound.
+    """
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK, table_terms: int = TABLE_TERMS) -> None:
         lead = [(int(t[np.argmax(w)]) if len(t) else n_terms, i) for i, (t, w) in enumerate(vectors)]
         self.order = np.array([i for _, i in sorted(lead)], np.int64)  # example number at each place
-        self.n, self.blocks = len(vectors), -(-len(vectors) // block)
+        self.n, self.blocks, self.block = len(vectors), -(-len(vectors) // block), block
         rows = [vectors[i] for i in self.order.tolist()]
         place = np.repeat(np.arange(self.n), [len(t) for t, _ in rows])
         terms = np.concatenate([np.zeros(0, np.int64), *[t for t, _ in rows]])
         weights = np.concatenate([np.zeros(0), *[w for _, w in rows]])
+        df = np.bincount(terms, minlength=n_terms)
+        often = np.argsort(-df, kind="stable")[:table_terms]
+        often = np.sort(often[df[often] * TABLE_SHARE > self.n])
+        self.column = np.full(n_terms, -1, np.int64)
+        self.column[often] = np.arange(len(often))
+        here = self.column[terms] >= 0
+        self.table = np.zeros((len(often), self.n))
+        self.table[self.column[terms[here]], place[here]] = weights[here]
+        place, terms, weights = place[~here], terms[~here], weights[~here]
         by_term = np.lexsort((place, terms))
-        self.place, self.weights = place[by_term].astype(np.int32), weights[by_term]
+        self.place, self.weights = place[by_term], weights[by_term]
         pair = terms[by_term] * self.blocks + self.place // block
         first = np.flatnonzero(np.diff(pair, prepend=-1))
         self.pair_starts = np.append(first, len(pair))
-        self.pair_block = (pair[first] % max(1, self.blocks)).astype(np.int32)
+        self.pair_block = pair[first] % max(1, self.blocks)
         self.peaks = np.maximum.reduceat(self.weights, first) if len(first) else np.zeros(0)
         self.term_starts = np.searchsorted(pair[first] // max(1, self.blocks), np.arange(n_terms + 1))
-        self.scored = 0  # blocks scored so far, for tests and tuning
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The numbers and cosines of the k nearest with a cosine over 0, by falling cosine, then number."""
+        self.scored = 0  # blocks whose postings were read, for tests and tuning
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the numbers and cosines of its k nearest with a cosine over 0, by falling cosine, then number."""
+        out = []
+        for at in range(0, len(queries), QUERIES if self.n else len(queries) or 1):
+            some = queries[at : at + QUERIES]
+            if not self.n:
+                return [(np.zeros(0, np.int64), np.zeros(0)) for _ in queries]
+            dense = np.zeros((len(some), len(self.table)))
+            for q, (terms, weights) in zip(dense, some, strict=True):
+                columns = self.column[terms]
+                q[columns[columns >= 0]] = weights[columns >= 0]
+            parts = dense @ self.table
+            tops = np.maximum.reduceat(parts, np.arange(0, self.n, self.block), axis=1)
+            for part, top, (terms, weights) in zip(parts, tops, some, strict=True):
+                rare = self.column[terms] < 0
+                out.append(self._nearest(part, top, terms[rare], weights[rare], k))
+        return out
+
+    def _nearest(self, part: np.ndarray, top: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         sizes = self.term_starts[terms + 1] - self.term_starts[terms]
         pairs, w = _ranges(self.term_starts[terms], sizes), np.repeat(weights, sizes)
         at = self.pair_block[pairs]
-        bound = np.bincount(at, w * self.peaks[pairs], self.blocks)
-        score, least = np.zeros(self.n), 0.0
-        lead = min(self.blocks, -(-2 * k // BLOCK) + 1)
+        bound = top + np.bincount(at, w * self.peaks[pairs], self.blocks)
+        score, least, lead = np.zeros(self.n), 0.0, min(self.blocks, -(-2 * k // self.block))
         take = np.zeros(self.blocks, bool)
         take[np.argpartition(-bound, lead - 1)[:lead]] = True
-        self._score(score, pairs, w, take[at])
+        self._score(score, part, pairs, w, at, take)
         if (score > 0).sum() >= k:
             least = np.partition(score, self.n - k)[self.n - k]
         rest = ~take & (bound > 0) & (bound >= least - 1e-9)
         if rest.any():
-            self._score(score, pairs, w, rest[at])
+            self._score(score, part, pairs, w, at, rest)
         self.scored += int(take.sum() + rest.sum())
-        hit = np.flatnonzero(score > 0)
-        if len(hit) > 4 * k:  # leave those that ties can't bring back
-            hit = hit[score[hit] >= np.partition(score[hit], len(hit) - k)[len(hit) - k] - 1e-9]
+        hit = np.flatnonzero((score > 0) & (score >= least - 1e-9))
         keep = np.lexsort((self.order[hit], -np.round(score[hit], 12)))[:k]
         return self.order[hit[keep]], score[hit[keep]]
 
-    def _score(self, score: np.ndarray, pairs: np.ndarray, w: np.ndarray, chosen: np.ndarray) -> None:
-        """Adds the whole dot products of the chosen blocks' examples; terms in ascending order in any case."""
+    def _score(self, score: np.ndarray, part: np.ndarray, pairs: np.ndarray, w: np.ndarray, at: np.ndarray, blocks: np.ndarray) -> None:
+        """Sets the whole dot products of the examples of ``blocks``."""
+        chosen = blocks[at]
         pairs = pairs[chosen]
         sizes = self.pair_starts[pairs + 1] - self.pair_starts[pairs]
-        at = _ranges(self.pair_starts[pairs], sizes)
-        score += np.bincount(self.place[at], np.repeat(w[chosen], sizes) * self.weights[at], self.n)
+        found = _ranges(self.pair_starts[pairs], sizes)
+        score += np.bincount(self.place[found], np.repeat(w[chosen], sizes) * self.weights[found], self.n)
+        inside = np.repeat(blocks, self.block)[: self.n]
+        score[inside] += part[inside]
 
 
 class Judge:
@@ -125,19 +157,16 @@ class Judge:
         w = (1 + np.log(counts)) * self.factor[terms]
         return w / math.sqrt(float((w * w).sum())) if len(w) else w
 
-    def vote(self, terms: np.ndarray, weights: np.ndarray, without: int = -1) -> tuple[float | None, np.ndarray, np.ndarray]:
-        """The toxic share of the neighbours' votes (None without neighbours), the neighbours and their cosines."""
-        near, cos = self.index.nearest(terms, weights, self.k + 1) if len(terms) and self.ids else (np.zeros(0, np.int64), np.zeros(0))
-        cos, near = cos[near != without][: self.k], near[near != without][: self.k]
-        if not len(near):
-            return None, near, cos
-        w = cos * self.votes[near]
-        prior = float(np.mean(self.votes[near])) * PRIOR
-        return float(((w * self.labels[near]).sum() + prior * self.base) / (w.sum() + prior)), near, cos
-
-    def vote_without(self, n: int) -> float | None:
-        """The vote on example ``n`` by the others."""
-        return self.vote(*self.vectors[n], n)[0]
+    def votes_on(self, queries: list[tuple[np.ndarray, np.ndarray]], without: list[int]) -> list[tuple[float | None, np.ndarray, np.ndarray]]:
+        """For each query the toxic share of its neighbours' votes (None without neighbours), the neighbours and their
+        cosines; example ``without`` is none of them."""
+        out = []
+        for own, (near, cos) in zip(without, self.index.nearest(queries, self.k + 1), strict=True):
+            cos, near = cos[near != own][: self.k], near[near != own][: self.k]
+            w = cos * self.votes[near]
+            prior = float(np.mean(self.votes[near])) * PRIOR if len(near) else 0.0
+            out.append((float(((w * self.labels[near]).sum() + prior * self.base) / (w.sum() + prior)) if len(near) else None, near, cos))
+        return out
 
     def calibration(self, votes: list[float | None]) -> tuple[np.ndarray, np.ndarray, float]:
         """Votes and their scores, and the score without a vote, from the votes on all examples."""
@@ -160,20 +189,23 @@ class Judge:
         find = self.number.get
         return np.unique(np.array([n for w in words_of(text) if (n := find(w)) is not None], np.int64), return_counts=True)
 
-    def score(self, row_id: object, text: str | None, steps: np.ndarray, values: np.ndarray, no_vote: float) -> tuple[float, list, list[float]]:
+    def score(self, ids: list, texts: Iterable[str | None], steps: np.ndarray, values: np.ndarray, no_vote: float) -> list[tuple[float, list, list[float]]]:
+        """Score, evidence and cosines of each row."""
         if self.example is None:
             self.example, self.seen = {x: n for n, x in enumerate(self.ids)}, {}
-        terms, counts = self.counts(text)
-        own = self.example.get(row_id, -1)
-        key = (own, hashlib.blake2b(terms.tobytes() + counts.tobytes(), digest_size=16).digest())
-        if (found := self.seen.get(key)) is None:
-            vote, near, cos = self.vote(terms, self.weigh(terms, counts), own)
+        keys, new = [], {}
+        if len(self.seen) >= HELD_VOTES:
+            self.seen.clear()
+        for row, text in zip(ids, texts, strict=True):
+            terms, counts = self.counts(text)
+            key = (self.example.get(row, -1), hashlib.blake2b(terms.tobytes() + counts.tobytes(), digest_size=16).digest())
+            keys.append(key)
+            if key not in self.seen:
+                new[key] = (terms, self.weigh(terms, counts))
+        for key, (vote, near, cos) in zip(new, self.votes_on(list(new.values()), [own for own, _ in new]), strict=True):
             score = no_vote if vote is None or not len(steps) else float(np.interp(vote, steps, values))
-            found = score, [self.ids[n] for n in near[:EVIDENCE].tolist()], [round(float(c), 6) for c in cos[:EVIDENCE]]
-            if len(self.seen) >= HELD_VOTES:
-                self.seen.clear()
-            self.seen[key] = found
-        return found
+            self.seen[key] = round(score, 12), [self.ids[n] for n in near[:EVIDENCE].tolist()], [round(float(c), 6) for c in cos[:EVIDENCE]]
+        return [self.seen[key] for key in keys]
 
 
 def training_rows(labels: DataFrame, label_col: str, id_col: str) -> DataFrame:
@@ -266,7 +298,7 @@ def train_and_score(spark: SparkSession, docs: DataFrame, labels: DataFrame, *,
         judge = sent.value
         for batch in batches:
             ids = batch.column(0)
-            out = [judge.score(i, t.as_py(), *scale) for i, t in zip(ids.to_pylist(), batch.column(1), strict=True)]
+            out = judge.score(ids.to_pylist(), (t.as_py() for t in batch.column(1)), *scale)
             yield pa.RecordBatch.from_arrays([ids, pa.array([s for s, _, _ in out], pa.float64()), pa.array([e for _, e, _ in out], pa.list_(ids.type)), pa.array([c for _, _, c in out], pa.list_(pa.float64()))], names=["id", "score", "evidence", "cosines"])
 
     id_type = slim.schema["id"].dataType
@@ -281,7 +313,9 @@ def _leave_one_out(spark: SparkSession, sent: object, n: int) -> list[float | No
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sent.value.vote_without(i) for i in batch.column(0).to_pylist()], pa.float64())], names=["id", "vote"])
+            some = batch.column(0).to_pylist()
+            found = sent.value.votes_on([sent.value.vectors[i] for i in some], some)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v for v, _, _ in found], pa.float64())], names=["id", "vote"])
 
     parts = max(1, min(spark.sparkContext.defaultParallelism, n // 64))
     return spark.range(0, n, 1, parts).mapInArrow(work, "id long, vote double").toArrow().sort_by("id")["vote"].to_pylist()

@@ -14,25 +14,25 @@ from lodeseam.llm.queries import op1_toxicity
 NAMES = ["vile", "scum", "dolt", "brute"]
 
 
-@pytest.mark.parametrize("terms", [30, 400])
-def test_block_max_is_exact(terms):
+@pytest.mark.parametrize(("terms", "table"), [(30, 0), (30, 10), (400, 0), (400, 1000)])
+def test_block_max_is_exact(terms, table):
     r = np.random.default_rng(3)
     vectors = []
     for _ in range(900):
         t = np.sort(r.choice(terms, r.integers(0, 6), replace=False))
         w = r.integers(1, 4, len(t)).astype(float)  # many ties
         vectors.append((t, w / np.sqrt((w * w).sum()) if len(t) else w))
-    index = toxicity_knn.BlockMaxIndex(vectors, terms, 32)
+    index = toxicity_knn.BlockMaxIndex(vectors, terms, 32, table)
     dense = np.zeros((900, terms))
     for i, (t, w) in enumerate(vectors):
         dense[i, t] = w
-    for t, w in vectors[:120]:
+    for (t, w), (near, _) in zip(vectors[:300], index.nearest(vectors[:300], 10), strict=True):
         q = np.zeros(terms)
         q[t] = w
         cos = np.round(dense @ q, 12)
         best = [i for i in np.lexsort((np.arange(900), -cos))[:10] if cos[i] > 0]
-        assert index.nearest(t, w, 10)[0].tolist() == best
-    assert index.scored < 120 * index.blocks  # bounds leave blocks out
+        assert near.tolist() == best
+    assert index.scored < 300 * index.blocks  # bounds leave blocks out
 
 
 def brute(docs, labels):
