@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from lodeseam.llm import decontam, html_paths, license_index, line_dedup, quality_lines, simhash_ball, source_mix, token_store, url_rules, wavelet
+from lodeseam.llm import decontam, license_index, line_dedup, quality_lines, simhash_ball, source_mix, token_store, url_rules, wavelet
 
 ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -81,45 +81,6 @@ def test_labels_spread_along_chains(spark):
     assert {r["v"]: r["label"] for r in found.collect()} == expect
 
 
-# ---- html
-
-def test_html():
-    page = "<html><head><title>T</title><style>p{}</style></head><body><header class=top>Site</header><nav><a href=/>Home</a></nav><div class='ad'>Buy</div><article><h1>Head &amp; line</h1><p><b>One\n two.<br><p>Three <i>four</i>.<script>var a='</p>';</script></p><div class=\"comments\">me too</div></article><aside>x</aside><footer>&copy;</footer>"
-    assert html_paths.main_text(page) == "Head & line\nOne two.\nThree four."
-    loose = "<body><ul class=menu><li><a href=1>a</a><li><a href=2>b</a></ul><div><h2>Title here</h2><p>" + "A long sentence, with marks. " * 9 + "<p>" + "Another one, quite long; really. " * 9 + "</div><div><a href=3>more</a></div>"
-    assert html_paths.main_text(loose).split("\n")[0] == "Title here" and "more" not in html_paths.main_text(loose) and len(html_paths.main_text(loose).split("\n")) == 3
-    assert html_paths.main_text(None) == html_paths.main_text("") == html_paths.main_text("<p>") == ""
-    assert html_paths.main_text("<div><p>" * 3000 + "x, y." + "</div>") == "x, y."
-
-
-def test_html_ratios_run_beside_articles():
-    body = "A long sentence, with marks. " * 9
-    page = f"<body><article class=card><p>Next story</article><div><p>{body}<p>{body}</div><article class=card><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></article>"
-    assert html_paths.main_text(page) == "\n".join([body.strip()] * 2)
-    inside = f"<body><article><h1>Title</h1><p>{body}<p>Short.<ul><li><a href=1>One</a><li><a href=2>Two</a></ul></article>"
-    assert html_paths.main_text(inside) == f"Title\n{body.strip()}\nShort."
-
-
-def test_html_raw_elements_without_end_tag():
-    for raw in ("<svg class=i />", "<svg/><svg><path/></svg>", "<iframe src=x>", "<object data=x>"):
-        assert html_paths.main_text(f"<body>{raw}<article><p>One, two.</article>") == "One, two."
-    assert html_paths.main_text("<svg/><article><p>One, two.</article><svg><text>no</text></svg>") == "One, two."
-    assert html_paths.main_text("<article><p>One, two.</article><script>var a = '<p>no, no.'") == "One, two."
-
-
-def test_html_rows(spark):
-    pages = spark.createDataFrame([(1, "u", "<article><p>a<p>b</article>", "m"), (None, None, None, None)], "page_id long, url string, html string, main_text string")
-    assert got(html_paths.extract_main_text(spark, pages), "page_id", "url", "main_text") == Counter({(1, "u", "a\nb"): 1, (None, None, ""): 1})
-    assert html_paths.extract_main_text(spark, pages.limit(0)).count() == 0
-
-
-def test_html_query_joins_blocks_by_two_newlines(spark, tmp_path):
-    from lodeseam.llm.queries import op3_html
-
-    spark.createDataFrame([(1, "u", "<article><p>a.<p>b.</article>"), (2, "v", None)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
-    assert got(op3_html(spark, str(tmp_path)), "page_id", "url", "text", "n_chars") == Counter({(1, "u", "a.\n\nb.", 6): 1, (2, "v", "", 0): 1})
-
-
 # ---- mixing
 
 def test_mix_budgets_and_prefixes(spark, docs, rows, none):
