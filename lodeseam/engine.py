@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodeseam.functions import text as tx
 from lodeseam.operators import changes, graph, link, rank, resolve
+from lodeseam.session import persisted
 from lodeseam.sources import files, parse
 
 
@@ -24,9 +26,10 @@ class Index:
 
     @classmethod
     def of_sources(cls, spark: SparkSession, sources: DataFrame, parsed: DataFrame | None = None) -> Index:
-        parsed = parse.parse(spark, sources) if parsed is None else parsed
-        s = parse.symbols(parsed)
-        return cls(sources, parsed, s, link.link(s, parse.imports(parsed), parse.calls(parsed)))
+        """Symbols and edges are written once: every search, walk and score reads them."""
+        parsed = parse.parse(spark, sources) if parsed is None else persisted(spark, parsed, "parsed")
+        s = persisted(spark, parse.symbols(parsed), "symbols")
+        return cls(sources, parsed, s, persisted(spark, link.link(s, parse.imports(parsed), parse.calls(parsed)), "edges"))
 
     @classmethod
     def build(cls, spark: SparkSession, root: str, ignore: list[str] | None = None) -> Index:
@@ -58,19 +61,23 @@ class Engine:
         parts = ("fqn", "signature", "docstring", "body")
         return self.index.symbols.select(F.col("fqn").alias("doc_id"), F.concat_ws(" ", *parts).alias("text"))
 
+    @cached_property
+    def postings(self) -> rank.Postings:
+        """The corpus as all lexical rankings read it, written at their first use."""
+        return rank.index(self.corpus(), tx.flat_tokens)
+
     def search(self, queries: DataFrame, k: int | None = None) -> DataFrame:
         """BM25 over identifiers."""
         s = self.settings
-        return rank.bm25(queries, self.corpus(), k or s.top_k, k1=s.k1, b=s.b, doc_tokens=tx.flat_tokens)
+        return rank.bm25(queries, self.postings, k or s.top_k, k1=s.k1, b=s.b)
 
-    def fuse(self, queries: DataFrame, k: int | None = None) -> DataFrame:
-        """BM25, keyword and structural order by reciprocal ranks."""
+    def fuse(self, queries: DataFrame, k: int | None = None, dense: DataFrame | None = None) -> DataFrame:
+        """BM25, structural order and, where the caller has one, a dense list (or keywords) by reciprocal ranks."""
         k = k or self.settings.top_k
         depth = max(3 * k, 60)
-        lexical = self.search(queries, depth)
-        words = rank.keyword_search(queries, self.corpus(), depth, self.settings.min_score, tx.flat_tokens)
+        third = rank.keyword_search(queries, self.postings, depth, self.settings.min_score) if dense is None else dense
         structural = self.resolve(queries, depth).select("query_id", F.col("fqn").alias("doc_id"), "rank", "score")
-        return rank.rrf([lexical, words, structural], k, rrf_k=self.settings.rrf_k)
+        return rank.rrf([self.search(queries, depth), third, structural], k, rrf_k=self.settings.rrf_k)
 
     def resolve(self, queries: DataFrame, top: int = 50) -> DataFrame:
         """Targets, what the graph adds, constructors; scored and cut."""
@@ -78,11 +85,14 @@ class Engine:
         return resolve.resolve(self.spark, queries, pool, self.index.symbols, self.index.edges, self.settings.graph_policy, top)
 
     def get(self, names: DataFrame) -> DataFrame:
-        """(asked, fqn): the exact symbol, else one that ends so or holds it, else a member of that name; shortest first."""
-        s = self.index.symbols.select("fqn", "member", "name")
-        j = names.select("asked").distinct().join(s, F.col("fqn").contains(F.col("asked")) | (F.col("name") == F.col("asked")))
-        prio = F.when(F.col("fqn") == F.col("asked"), 1).when(F.col("fqn").endswith(F.col("asked")), 2).when(F.col("fqn").contains(F.col("asked")), 3).otherwise(4)
-        return j.withColumn("n", F.row_number().over(W.partitionBy("asked").orderBy(prio, F.length("fqn"), "fqn"))).where("n = 1").select("asked", "fqn")
+        """(asked, fqn): the exact symbol, else one that ends so, else one that holds it; the shortest of several."""
+        s = self.index.symbols.select("fqn", "name")
+        keys = F.transform(rank.units(F.col("asked")), lambda u: F.struct(F.length(u).alias("n"), u.alias("u")))
+        asked = names.select("asked").distinct().withColumn("w", F.array_max(keys)["u"]).where("w IS NOT NULL")
+        held = s.select("fqn", "name", F.explode(rank.units(F.col("fqn"))).alias("u"))
+        j = asked.join(rank.containing(held, asked), "w").join(held, "u").where(F.col("fqn").contains(F.col("asked"))).select("asked", "fqn", "name").distinct()
+        prio = F.when(F.col("fqn") == F.col("asked"), 1).when(F.col("fqn").endswith(F.col("asked")), 2).otherwise(3)
+        return j.groupBy("asked").agg(F.min(F.struct(prio, F.length("fqn"), "fqn"))["fqn"].alias("fqn"))
 
     def expand(self, ranges: DataFrame) -> DataFrame:
         """(path, first, last, body) of line ranges; a null range is the whole file."""

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseam.functions.words import FAMILY_SECTIONS, HARD_SIGNALS, HARD_STOPS, KINDS, MODES, PROMPT_FAMILIES, QUICK_WORDS, SOFT_STOPS, TASK_KEYWORDS
+from lodeseam.functions.words import FAMILY_SECTIONS, HARD_SIGNALS, HARD_STOPS, MODES, PROMPT_FAMILIES, QUICK_WORDS, SOFT_STOPS, TASK_KEYWORDS
 
 # fixed values: patterns of paths, errors, line numbers and relational questions
 PATH = r"([A-Za-z0-9_./\\-]+\.(?:py|js|tsx|ts|jsx|mjs|cjs|java|go|rs|cpp|cs|rb|php|json|yaml|yml|toml|md|txt|cfg|ini|env))"
@@ -93,11 +93,6 @@ def mode_value(mode: Column, field: int, default: object = None) -> Column:
     return out.otherwise(F.lit(default))
 
 
-def kind_table(spark: SparkSession) -> DataFrame:
-    rows = [(k, *[c == "1" for c in flags]) for k, flags in (x.split() for x in KINDS.replace("\n", "|").split("|") if x.strip())]
-    return spark.createDataFrame(rows, "kind string, is_callable boolean, is_type boolean, is_container boolean, auto_ctor boolean")
-
-
 def modifiers(text: Column, mode: Column, level: Column) -> Column:
     """The mode's modifiers; low confidence adds one, a quick question leaves MINIMAL alone; two at most."""
     own = F.filter(F.split(mode_value(mode, 7, ""), ","), lambda m: m != "")

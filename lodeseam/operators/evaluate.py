@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodeseam.session import ship_package
+
 
 def ranking_metrics(ranked: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, gold, recall, precision, mrr, ndcg) at ``k`` of every query with relevant documents."""
@@ -53,23 +58,44 @@ def cohens_d(diffs: DataFrame, col: str) -> DataFrame:
     return diffs.agg(F.round(F.avg(col) / F.stddev_samp(col), 6).alias("d"))
 
 
-def bootstrap_ratio(spark: SparkSession, pairs: DataFrame, rounds: int = 2000, seed: int = 42, level: float = 0.95) -> DataFrame:
+def bootstrap_ratio(spark: SparkSession, pairs: DataFrame, rounds: int = 10_000, seed: int = 42, level: float = 0.95) -> DataFrame:
     """(ratio, low, high) of sum(a) / sum(b) with Poisson resampling: each row gets its counts where it lies.
 
-    ``pairs`` (id, a, b).  Only sums for each round leave a task.
+    ``pairs`` (id, a, b).  A count is drawn from a hash of seed, id and round, so any layout draws the same; a task
+    keeps two sums for each round and sends those alone.
     """
-    r = F.sequence(F.lit(0), F.lit(rounds - 1))
-    draws = pairs.select("id", "a", "b", F.explode(r).alias("r")).withColumn("u", (F.pmod(F.xxhash64(F.lit(seed), "id", "r"), F.lit(1 << 30)) + 0.5) / float(1 << 30))
-    # A Poisson(1) count by inversion of a uniform.
-    p, cum, count = math.exp(-1), math.exp(-1), F.lit(0)
-    for n in range(1, 8):
-        count = count + (F.col("u") > cum).cast("int")
-        p /= n
-        cum += p
-    sums = draws.withColumn("w", count).groupBy("r").agg((F.sum(F.col("w") * F.col("a")) / F.sum(F.col("w") * F.col("b"))).alias("q"))
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, rounds))
+        for batch in batches:
+            keys = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            values = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in (1, 2)])
+            for at in range(0, len(keys), 256):
+                sums += values[:, at : at + 256] @ _poisson_counts(keys[at : at + 256], rounds)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(rounds)), pa.array(sums[0]), pa.array(sums[1])], names=["r", "a", "b"])
+
+    ship_package(spark)
+    rows = pairs.select(F.xxhash64(F.lit(seed), "id"), F.col("a").cast("double"), F.col("b").cast("double")).na.drop()
+    sums = rows.mapInArrow(work, "r long, a double, b double").groupBy("r").agg((F.sum("a") / F.sum("b")).alias("q"))
     lo = (1 - level) / 2
-    whole = pairs.agg((F.sum("a") / F.sum("b")).alias("ratio"))
-    return whole.join(sums.agg(F.percentile("q", lo).alias("low"), F.percentile("q", 1 - lo).alias("high")))
+    six = lambda c: F.round(c, 6)
+    whole = pairs.agg(six(F.sum("a") / F.sum("b")).alias("ratio"))
+    return whole.join(sums.agg(six(F.percentile("q", lo)).alias("low"), six(F.percentile("q", 1 - lo)).alias("high")))
+
+
+def _poisson_counts(keys: np.ndarray, rounds: int) -> np.ndarray:
+    """Poisson(1) counts, one row for each key, by inversion of a hash of key and round."""
+    with np.errstate(over="ignore"):
+        x = keys[:, None] + np.arange(1, rounds + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+    below = np.cumsum([math.exp(-1) / math.factorial(n) for n in range(10)])
+    return np.searchsorted(below, (x >> np.uint64(11)) * 2.0**-53, side="right").astype(np.float64)
+
+
+def bootstrap_mean(spark: SparkSession, values: DataFrame, rounds: int = 2000, seed: int = 42, level: float = 0.95) -> DataFrame:
+    """(mean, low, high) of ``values`` (id, a)."""
+    return bootstrap_ratio(spark, values.withColumn("b", F.lit(1.0)), rounds, seed, level).withColumnRenamed("ratio", "mean")
 
 
 def cumulative_recall(calls: DataFrame, gold: DataFrame) -> DataFrame:

@@ -8,15 +8,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodeseam.session import persisted
+from lodeseam.session import discard, persisted, scope
 
 # fixed values: edge types, and those that tie symbols closely
 EDGE_TYPES = ["calls", "imports", "inherits", "implements", "constructs", "decorates", "overrides", "tests", "raises", "type_depends"]
 STRONG_TYPES = ["calls", "inherits", "implements", "constructs", "overrides"]
+#: Values that the driver may put in order.
+ORDERED = 10_000
 
 
 def build(nodes: list[DataFrame], edges: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
@@ -37,22 +39,23 @@ def reverse(edges: DataFrame) -> DataFrame:
 
 def bfs(spark: SparkSession, edges: DataFrame, starts: DataFrame, depth: int, *, types: list[str] | None = None, direction: str = "forward") -> DataFrame:
     """(start, node, dist): least hops from each start; the start itself isn't listed."""
+    edges = of_types(edges, types)
     if direction == "both":
-        edges = of_types(edges, types).select("src", "dst").unionByName(reverse(of_types(edges, types)).select("src", "dst"))
-    else:
-        edges = of_types(edges, types)
-        edges = reverse(edges) if direction == "reverse" else edges
-    hops = edges.select("src", "dst").distinct()
-    seen = starts.select("start", F.col("start").alias("node"), F.lit(0).cast("long").alias("dist")).distinct()
-    frontier = seen
-    for d in range(1, depth + 1):
-        step = frontier.select("start", F.col("node").alias("src")).join(hops, "src").select("start", F.col("dst").alias("node")).distinct()
-        new = step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("dist", F.lit(d).cast("long"))
-        frontier = persisted(spark, new, "bfs")
-        if d < depth and frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-    return seen.where("dist > 0")
+        edges = edges.select("src", "dst").unionByName(reverse(edges).select("src", "dst"))
+    elif direction == "reverse":
+        edges = reverse(edges)
+    with scope(spark) as keep:
+        hops = persisted(spark, edges.select("src", "dst").distinct(), "hops")
+        seen = starts.select("start", F.col("start").alias("node"), F.lit(0).cast("long").alias("dist")).distinct()
+        frontier = seen
+        for d in range(1, depth + 1):
+            step = frontier.select("start", F.col("node").alias("src")).join(hops, "src").select("start", F.col("dst").alias("node")).distinct()
+            new = step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("dist", F.lit(d).cast("long"))
+            frontier = persisted(spark, new, "bfs")
+            if d < depth and frontier.isEmpty():
+                break
+            seen = seen.unionByName(frontier)
+        return keep(seen.where("dist > 0"), "reached")
 
 
 def blast_radius(spark: SparkSession, edges: DataFrame, starts: DataFrame, depth: int = 2, **how) -> DataFrame:
@@ -65,22 +68,23 @@ def dependency_chain(spark: SparkSession, edges: DataFrame, starts: DataFrame, d
 
 def shortest_paths(spark: SparkSession, edges: DataFrame, pairs: DataFrame, max_hops: int = 10) -> DataFrame:
     """(a, b, hops, path) over undirected edges: of the shortest paths the one least in lexical order."""
-    both = edges.select("src", "dst").unionByName(reverse(edges).select("src", "dst")).distinct()
-    frontier = pairs.select("a", "b", F.col("a").alias("at"), F.array("a").alias("path")).distinct()
-    done = frontier.where("a = b").select("a", "b", "path")
-    frontier = frontier.where("a <> b")
-    seen = frontier.select("a", "b", "at")
-    for _ in range(max_hops):
-        step = frontier.join(both, frontier["at"] == both["src"]).select("a", "b", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"))
-        best = step.groupBy("a", "b", "at").agg(F.min("path").alias("path")).join(seen, ["a", "b", "at"], "left_anti")
-        best = persisted(spark, best, "paths")
-        hit = best.where("at = b").select("a", "b", "path")
-        done = done.unionByName(hit)
-        frontier = best.join(hit.select("a", "b"), ["a", "b"], "left_anti")
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(best.select("a", "b", "at"))
-    return done.select("a", "b", (F.size("path") - 1).cast("long").alias("hops"), "path")
+    with scope(spark) as keep:
+        both = persisted(spark, edges.select("src", "dst").unionByName(reverse(edges).select("src", "dst")).distinct(), "hops")
+        frontier = persisted(spark, pairs.select("a", "b", F.col("a").alias("at"), F.array("a").alias("path")).distinct(), "pairs")
+        done = frontier.where("a = b").select("a", "b", "path")
+        frontier = frontier.where("a <> b")
+        seen = frontier.select("a", "b", "at")
+        for _ in range(max_hops):
+            step = frontier.join(both, frontier["at"] == both["src"]).select("a", "b", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"))
+            best = step.groupBy("a", "b", "at").agg(F.min("path").alias("path")).join(seen, ["a", "b", "at"], "left_anti")
+            best = persisted(spark, best, "paths")
+            hit = best.where("at = b").select("a", "b", "path")
+            done = done.unionByName(hit)
+            frontier = best.join(hit.select("a", "b"), ["a", "b"], "left_anti")
+            if frontier.isEmpty():
+                break
+            seen = seen.unionByName(best.select("a", "b", "at"))
+        return keep(done.select("a", "b", (F.size("path") - 1).cast("long").alias("hops"), "path"), "shortest")
 
 
 def bridge_counts(spark: SparkSession, edges: DataFrame, left: DataFrame, right: DataFrame, seeds: int = 6, depth: int = 3, pairs: int = 24) -> DataFrame:
@@ -128,44 +132,59 @@ def in_degree(edges: DataFrame) -> DataFrame:
 
 
 def hubs(scores: DataFrame, share: float = 0.2, value: str = "score") -> DataFrame:
-    """Nodes that reach the value at place int(n * share) of the descending order (ties included)."""
-    n = scores.count()
+    """Nodes that reach the value at place int(n * share) of the descending order (ties included).
+
+    The place is looked for among counts of distinct values, in ever smaller ranges of them, so that no task or driver
+    orders more than ``ORDERED`` values.
+    """
+    counts = scores.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c")).where("v IS NOT NULL")
+    n, values = counts.agg(F.sum("c"), F.count("*")).first()
     if not n:
-        return scores
+        return scores.limit(0)
     at = min(n - 1, int(n * share))
-    cut = scores.orderBy(F.desc(value)).offset(at).limit(1).first()[value]
-    return scores.where(F.col(value) >= cut)
+    while values > ORDERED:
+        cuts = sorted(set(counts.agg(F.percentile_approx("v", [i / 64 for i in range(1, 64)], 1000)).first()[0]))
+        above = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c >= F.col("v")))
+        parts = counts.groupBy(above.alias("b")).agg(F.sum("c").alias("c"), F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("b").collect()
+        for p in parts:
+            if at < p["c"]:
+                break
+            at -= p["c"]
+        if p["n"] == values:
+            break
+        counts, values = counts.where(F.col("v").between(p["lo"], p["hi"])), p["n"]
+    for v, c in counts.orderBy(F.desc("v")).collect():
+        if at < c:
+            break
+        at -= c
+    return scores.where(F.col(value) >= v)
 
 
-def pagerank(spark: SparkSession, nodes: DataFrame, edges: DataFrame, *, damping: float = 0.85, tol: float = 1e-6, max_iter: int = 100, check_every: int = 5) -> DataFrame:
-    """(node, score): uniform start, parallel edges as one, dangling mass spread evenly.
+def pagerank(spark: SparkSession, nodes: DataFrame, edges: DataFrame, *, damping: float = 0.85, tol: float = 1e-6, max_iter: int = 100) -> DataFrame:
+    """(node, score): uniform start, parallel edges as one, dangling mass spread evenly; ends with the first round that
+    changes the scores by less than ``tol`` in all.
 
-    The structure is written once, laid out by source; each round joins the scores to it and sums by target with
-    a combine before the shuffle.  Every ``check_every`` rounds the scores are written and the change is looked at.
+    The structure is written once; each round joins the scores to it, sums by target with a combine before the shuffle,
+    and is written with the scores before it, from which the next round's dangling mass and the change are read.
     """
     n = nodes.count()
     if not n:
         return nodes.select("node", F.lit(0.0).alias("score"))
-    links = edges.select("src", "dst").distinct()
-    out = links.groupBy("src").agg(F.count("*").alias("deg"))
-    links = persisted(spark, links.join(out, "src"), "pr-links")
-    base = persisted(spark, nodes.select("node").join(out.withColumnRenamed("src", "node"), "node", "left").select("node", F.col("deg").isNull().alias("dangling")), "pr-nodes")
-    ranks = base.select("node", F.lit(1.0 / n).alias("score"), "dangling")
-    last = ranks
-    for i in range(1, max_iter + 1):
-        lost = ranks.agg(F.sum(F.when(F.col("dangling"), F.col("score")).otherwise(0.0)).alias("lost"))
-        sent = links.join(ranks.select(F.col("node").alias("src"), "score"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") / F.col("deg")).alias("got"))
-        new = base.join(sent, "node", "left").join(F.broadcast(lost)).select("node", (F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("score"), "dangling")
-        if i % check_every and i < max_iter:
-            ranks = new
-            continue
-        ranks = persisted(spark, new, "pr-ranks")
-        if tol:
-            before = last.select("node", F.col("score").alias("old"))
-            if (ranks.join(before, "node").agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0] or 0.0) < tol * check_every:
+    with scope(spark) as keep:
+        links = edges.select("src", "dst").distinct()
+        out = persisted(spark, links.groupBy("src").agg(F.count("*").alias("deg")), "pr-degrees")
+        links = persisted(spark, links.join(out, "src"), "pr-links")
+        start = nodes.select("node").join(out.withColumnRenamed("src", "node"), "node", "left")
+        ranks = persisted(spark, start.select("node", F.lit(1.0 / n).alias("score"), F.col("deg").isNull().alias("dangling"), F.lit(0.0).alias("old")), "pr-ranks")
+        for _ in range(max_iter):
+            change, lost = ranks.agg(F.sum(F.abs(F.col("score") - F.col("old"))), F.sum(F.when(F.col("dangling"), F.col("score")).otherwise(0.0))).first()
+            if tol and change < tol:
                 break
-        last = ranks
-    return ranks.select("node", "score")
+            sent = links.join(ranks.select(F.col("node").alias("src"), "score"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") / F.col("deg")).alias("got"))
+            score = F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + F.lit(lost / n))
+            before, ranks = ranks, persisted(spark, ranks.join(sent, "node", "left").select("node", score.alias("score"), "dangling", F.col("score").alias("old")), "pr-ranks")
+            discard(before)
+        return keep(ranks.select("node", "score"), "pagerank")
 
 
 def top_ranked(scores: DataFrame, symbols: DataFrame, k: int = 20) -> DataFrame:
@@ -188,7 +207,12 @@ def neighbours(edges: DataFrame, node: DataFrame, cap: int = 20) -> DataFrame:
     return rows.withColumn("n", F.row_number().over(W.partitionBy("node", "side").orderBy("other", "etype"))).where(F.col("n") <= cap).drop("n")
 
 
-def reachable_within(spark: SparkSession, edges: DataFrame, starts: DataFrame, depth: int = 6) -> DataFrame:
-    """(start, reachable): nodes within ``depth`` hops forward and backward, counted for either side."""
-    both = bfs(spark, edges, starts, depth).unionByName(bfs(spark, edges, starts, depth, direction="reverse"))
-    return starts.join(both.groupBy("start").agg(F.count("*").alias("reachable")), "start", "left").fillna(0, ["reachable"])
+def reachable_within(spark: SparkSession, edges: DataFrame, starts: DataFrame, depth: int = 6, file: Column | None = None) -> DataFrame:
+    """(start, reachable, files): nodes within ``depth`` hops forward or backward, and the files of these and the start.
+
+    ``file`` tells a column ``node``'s file: what stands before ``::`` unless given.
+    """
+    both = bfs(spark, edges, starts, depth).unionByName(bfs(spark, edges, starts, depth, direction="reverse")).select("start", "node").distinct()
+    every = both.withColumn("far", F.lit(1)).unionByName(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("far")))
+    of = F.split_part("node", F.lit("::"), F.lit(1)) if file is None else file
+    return every.groupBy("start").agg(F.sum("far").alias("reachable"), F.countDistinct(of).alias("files"))

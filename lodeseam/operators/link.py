@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodeseam.operators import intervals
+
 EDGE = ["src", "dst", "etype", "line", "conf"]
 
 
@@ -20,14 +22,12 @@ def short_names(symbols: DataFrame) -> DataFrame:
 def innermost(points: DataFrame, spans: DataFrame, file: str, line: str, *, by_start: bool = False) -> DataFrame:
     """Each point with the span of its file that holds its line: the latest start, or the shortest span.
 
-    ``spans`` (file, fqn, first, last_line).  The join is on the file, the range a condition on it.
+    ``spans`` (file, fqn, first, last_line).
     """
-    p = points.withColumn("__p", F.xxhash64(*points.columns))
-    s = spans.select(F.col("file").alias("__f"), F.col("fqn").alias("span"), F.col("first").alias("__a"), F.col("last_line").alias("__z"))
-    j = p.join(s, (F.col(file) == F.col("__f")) & F.col(line).between(F.col("__a"), F.col("__z")))
-    order = [F.desc("__a"), "span"] if by_start else [F.col("__z") - F.col("__a"), F.desc("__a"), "span"]
-    best = j.withColumn("__n", F.row_number().over(W.partitionBy("__p", file, line).orderBy(*order))).where("__n = 1")
-    return best.drop("__p", "__f", "__a", "__z", "__n")
+    s = spans.select(F.col("file").alias(file), F.col("fqn").alias("span"), F.col("first").cast("long").alias("__a"), F.col("last_line").cast("long").alias("__z"))
+    order = F.struct(-F.col("__a"), "span") if by_start else F.struct(F.col("__z") - F.col("__a"), -F.col("__a"), "span")
+    held = intervals.containing(points.distinct(), s, [file], line, "__a", "__z")
+    return held.groupBy(*points.columns).agg(F.min(order)["span"].alias("span"))
 
 
 def resolve_names(refs: DataFrame, symbols: DataFrame) -> DataFrame:

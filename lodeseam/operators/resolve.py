@@ -97,11 +97,12 @@ def with_constructors(candidates: DataFrame, symbols: DataFrame) -> DataFrame:
 def resolve(spark: SparkSession, queries: DataFrame, ranked: DataFrame, symbols: DataFrame, edges: DataFrame, policy: str = "gated", top: int = 50) -> DataFrame:
     """The whole way from queries (query_id, text) and a ranked pool (query_id, fqn, rank, score) to scored candidates."""
     t = F.col("text")
-    names = queries.select("query_id", F.explode(rules.candidate_names(t)).alias("name"), F.get(rules.intent_paths(t), F.lit(0)).alias("path"))
-    entities = entity_matches(names, symbols)
-    entities = persisted(spark, entities, "resolve-entities")
+    # Written: the rules are long expressions, which a plan would repeat wherever their results are compared.
+    paths = rules.intent_paths(t)
+    asked = persisted(spark, queries.select("query_id", "text", rules.candidate_names(t).alias("names"), F.get(paths, F.lit(0)).alias("path"), rules.query_mode(t, F.size(paths) > 0).alias("mode")), "resolve-asked")
+    entities = persisted(spark, entity_matches(asked.select("query_id", F.explode("names").alias("name"), "path"), symbols), "resolve-entities")
     exact = entities.groupBy("query_id").agg(F.count("*").alias("n_exact"))
-    asked = queries.withColumn("mode", rules.query_mode(t, F.size(rules.intent_paths(t)) > 0)).join(exact, "query_id", "left").fillna(0, ["n_exact"])
+    asked = persisted(spark, asked.join(exact, "query_id", "left").fillna(0, ["n_exact"]), "resolve-modes")
     pool = entities.select("query_id", "fqn", F.lit(0).cast("long").alias("rank"), F.lit(1.0).alias("s")).unionByName(ranked.select("query_id", "fqn", "rank", (F.col("score") / F.max("score").over(W.partitionBy("query_id"))).alias("s")))
     targets = persisted(spark, pool.groupBy("query_id", "fqn").agg(F.min("rank").alias("rank"), F.max("s").alias("lexical")), "resolve-targets")
     grown = with_constructors(expand(spark, expansion_plan(asked, policy), targets, edges), symbols).join(targets.select("query_id", "fqn", "lexical"), ["query_id", "fqn"], "left")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodeseam.operators import intervals
+
 
 def turns(log: DataFrame, by: str, order: str) -> DataFrame:
     return log.withColumn("turn_index", F.row_number().over(W.partitionBy(by).orderBy(order)).cast("long"))
@@ -37,11 +39,17 @@ def body_dedup(rows: DataFrame, by: list[str], body: Column, order: list[str]) -
 
 
 def range_dedup(rows: DataFrame, by: list[str], first: str, last: str, order: str, share: float = 0.8) -> DataFrame:
-    """Ranges of which an earlier range of the same group covers less than ``share``."""
-    a, b = rows.alias("a"), rows.select(*by, F.col(first).alias("f2"), F.col(last).alias("l2"), F.col(order).alias("o2")).alias("b")
-    over = F.greatest(F.lit(0), F.least(F.col(last), F.col("l2")) - F.greatest(F.col(first), F.col("f2")) + 1) / (F.col(last) - F.col(first) + 1)
-    covered = a.join(b, by).where((F.col("o2") < F.col(order)) & (over >= share)).select(*[F.col(f"a.{c}") for c in rows.columns]).distinct()
-    return rows.join(covered.select(order), order, "left_anti")
+    """Ranges of which no earlier range of the same group covers ``share`` (over one half) or more.
+
+    What covers over half of a range holds its middle; of equal ranges of a group only the earliest is looked at.
+    """
+    if share <= 0.5:
+        raise ValueError("share must be over one half")
+    points = rows.withColumn("__middle", F.floor((F.col(first) + F.col(last)) / 2).cast("long"))
+    earliest = rows.groupBy(*by, F.col(first).alias("__first"), F.col(last).alias("__last")).agg(F.min(order).alias("__order"))
+    held = intervals.containing(points, earliest, by, "__middle", "__first", "__last").where(F.col("__order") < F.col(order))
+    covered = held.where(intervals.overlap(F.col(first), F.col(last), F.col("__first"), F.col("__last")) >= share)
+    return rows.join(covered.select(order).distinct(), order, "left_anti")
 
 
 def gate(events: DataFrame, by: str, order: str, is_search: Column, is_gated: Column, searches: int = 2, denials: int = 3) -> DataFrame:

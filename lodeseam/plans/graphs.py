@@ -23,60 +23,77 @@ def graph_b(spark: SparkSession, d: str) -> DataFrame:
 
 A = "ea AS (SELECT DISTINCT 'c' || o_custkey AS src, 's' || l_suppkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 B = "eb AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst, CASE l_returnflag WHEN 'R' THEN 'tests' WHEN 'A' THEN 'raises' ELSE 'calls' END AS etype FROM lineitem)"
-UNDIRECTED = "u AS (SELECT src, dst FROM eb UNION SELECT dst, src FROM eb)"
 
 
-def starts(spark: SparkSession, *names: str) -> DataFrame:
-    return spark.createDataFrame([(n,) for n in names], "start string")
+def graph_d(spark: SparkSession, d: str) -> DataFrame:
+    """Of graph B the bulk purchases, of 50 pieces: a sparse graph with long paths."""
+    rows = table(spark, d, "lineitem").where("l_quantity >= 50").select("l_partkey", "l_suppkey", "l_returnflag")
+    etype = F.when(F.col("l_returnflag") == "R", "raises").otherwise("calls")
+    return rows.select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"), etype.alias("etype")).distinct()
+
+
+D = "ed AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst, CASE l_returnflag WHEN 'R' THEN 'raises' ELSE 'calls' END AS etype FROM lineitem WHERE l_quantity >= 50)"
+# Searches start from every node whose id is divisible by 20.
+PARTS, SUPPLIERS, CUSTOMERS = "SELECT 'p' || p_partkey AS start FROM part WHERE p_partkey % 20 = 0", "SELECT 's' || s_suppkey AS start FROM supplier WHERE s_suppkey % 20 = 0", "SELECT 'c' || c_custkey AS start FROM customer WHERE c_custkey % 20 = 0"
+
+
+def starts(spark: SparkSession, d: str, name: str, key: str) -> DataFrame:
+    return table(spark, d, name).where(F.col(key) % 20 == 0).select(F.concat(F.lit(name[0]), key).alias("start"))
+
+
+def parts(spark: SparkSession, d: str) -> DataFrame:
+    return starts(spark, d, "part", "p_partkey")
 
 
 def _bfs_sql(edges: str, first: str, depth: int, extra: str = "") -> str:
-    return f"""WITH RECURSIVE {edges}, st AS (SELECT unnest({first}) AS start), r AS (SELECT start, start AS node, 0 AS dist FROM st
+    return f"""WITH RECURSIVE {edges}, st AS ({first}), r AS (SELECT start, start AS node, 0 AS dist FROM st
       UNION SELECT r.start, e.dst, r.dist + 1 FROM r JOIN e ON e.src = r.node WHERE r.dist < {depth})
       SELECT start, node, min(dist)::BIGINT AS dist FROM r WHERE node <> start {extra} GROUP BY start, node"""
 
 
-@query("bfs_forward", _bfs_sql(f"{B}, {UNDIRECTED}, e AS (SELECT * FROM u)", "['p1', 'p7']", 3))
+@query("bfs_forward", _bfs_sql(f"{D}, e AS (SELECT src, dst FROM ed UNION SELECT dst, src FROM ed)", PARTS, 3))
 def bfs_forward(spark: SparkSession, d: str) -> DataFrame:
-    return g.bfs(spark, graph_b(spark, d), starts(spark, "p1", "p7"), 3, direction="both")
+    return g.bfs(spark, graph_d(spark, d), parts(spark, d), 3, direction="both")
 
 
-@query("bfs_reverse", _bfs_sql(f"{A}, e AS (SELECT dst AS src, src AS dst FROM ea)", "['s1', 's2']", 2))
+@query("bfs_reverse", _bfs_sql(f"{A}, e AS (SELECT dst AS src, src AS dst FROM ea)", SUPPLIERS, 2))
 def bfs_reverse(spark: SparkSession, d: str) -> DataFrame:
-    return g.blast_radius(spark, graph_a(spark, d), starts(spark, "s1", "s2"))
+    return g.blast_radius(spark, graph_a(spark, d), starts(spark, d, "supplier", "s_suppkey"))
 
 
-@query("bfs_typed", _bfs_sql(f"{B}, e AS (SELECT src, dst FROM eb WHERE etype = 'calls' UNION SELECT dst, src FROM eb WHERE etype = 'calls')", "['p3']", 3))
+@query("bfs_typed", _bfs_sql(f"{D}, e AS (SELECT src, dst FROM ed WHERE etype = 'calls' UNION SELECT dst, src FROM ed WHERE etype = 'calls')", PARTS, 3))
 def bfs_typed(spark: SparkSession, d: str) -> DataFrame:
-    return g.bfs(spark, graph_b(spark, d), starts(spark, "p3"), 3, types=["calls"], direction="both")
+    return g.bfs(spark, graph_d(spark, d), parts(spark, d), 3, types=["calls"], direction="both")
 
 
-@query("dependency_chain", _bfs_sql(f"{A}, e AS (SELECT * FROM ea)", "['c1', 'c2', 'c3']", 3))
+@query("dependency_chain", _bfs_sql(f"{A}, e AS (SELECT * FROM ea)", CUSTOMERS, 3))
 def dependency_chain(spark: SparkSession, d: str) -> DataFrame:
-    return g.dependency_chain(spark, graph_a(spark, d), starts(spark, "c1", "c2", "c3"))
+    return g.dependency_chain(spark, graph_a(spark, d), starts(spark, d, "customer", "c_custkey"))
 
 
 @query(
     "shortest_path_len",
-    f"""WITH RECURSIVE {B}, {UNDIRECTED}, pr AS (SELECT * FROM (VALUES ('p1', 'p2'), ('p1', 's5'), ('p3', 'p30')) t(a, b)),
-      r AS (SELECT a, b, a AS cur, 0 AS hops FROM pr UNION SELECT a, b, u.dst, hops + 1 FROM r JOIN u ON u.src = r.cur WHERE hops < 6)
+    f"""WITH RECURSIVE {D}, u AS (SELECT src, dst FROM ed UNION SELECT dst, src FROM ed), pr AS (SELECT 'p' || p_partkey AS a, 'p' || (p_partkey + 20) AS b FROM part WHERE p_partkey % 20 = 0),
+      r AS (SELECT a, b, a AS cur, 0 AS hops FROM pr UNION SELECT a, b, u.dst, hops + 1 FROM r JOIN u ON u.src = r.cur WHERE hops < 10)
       SELECT a, b, min(hops)::BIGINT AS hops FROM r WHERE cur = b GROUP BY a, b""",
 )
 def shortest_path_len(spark: SparkSession, d: str) -> DataFrame:
-    pairs = spark.createDataFrame([("p1", "p2"), ("p1", "s5"), ("p3", "p30")], "a string, b string")
-    return g.shortest_paths(spark, graph_b(spark, d), pairs, 6).select("a", "b", "hops")
+    """The path too: its hops are checked by the twin, its steps by a test."""
+    key = F.col("p_partkey")
+    pairs = table(spark, d, "part").where(key % 20 == 0).select(F.concat(F.lit("p"), key).alias("a"), F.concat(F.lit("p"), key + 20).alias("b"))
+    return g.shortest_paths(spark, graph_d(spark, d), pairs).select("a", "b", "hops")
 
 
 @query(
     "simple_paths_to_raisers",
-    f"""WITH RECURSIVE {B}, cl AS (SELECT src, dst FROM eb WHERE etype = 'calls' UNION SELECT dst, src FROM eb WHERE etype = 'calls'), ra AS (SELECT DISTINCT src FROM eb WHERE etype = 'raises'),
-      r AS (SELECT 'p1' AS cur, ['p1'] AS path UNION ALL SELECT cl.dst, list_append(path, cl.dst) FROM r JOIN cl ON cl.src = r.cur WHERE len(path) < 3 AND NOT list_contains(path, cl.dst))
-      SELECT 'p1' AS start, array_to_string(path, '>') AS path FROM r WHERE len(path) > 1 AND cur IN (SELECT src FROM ra)""",
+    f"""WITH RECURSIVE {D}, cl AS (SELECT src, dst FROM ed WHERE etype = 'calls' UNION SELECT dst, src FROM ed WHERE etype = 'calls'), ra AS (SELECT DISTINCT src FROM ed WHERE etype = 'raises'), st AS ({PARTS}),
+      r AS (SELECT start, start AS cur, [start] AS path FROM st UNION ALL SELECT start, cl.dst, list_append(path, cl.dst) FROM r JOIN cl ON cl.src = r.cur WHERE len(path) < 5 AND NOT list_contains(path, cl.dst))
+      SELECT start, array_to_string(path, '>') AS path FROM r WHERE len(path) > 1 AND cur IN (SELECT src FROM ra)""",
 )
 def simple_paths_to_raisers(spark: SparkSession, d: str) -> DataFrame:
-    e = graph_b(spark, d)
+    e = graph_d(spark, d)
     both = e.unionByName(g.reverse(g.of_types(e, ["calls"])).select(e.columns)).distinct()
-    return g.error_traces(both, starts(spark, "p1"), 3).select("start", F.array_join("path", ">").alias("path"))
+    return g.error_traces(both, parts(spark, d)).select("start", F.array_join("path", ">").alias("path"))
 
 
 @query("hub_scores", f"WITH {A}, c AS (SELECT dst AS node, count(*) AS deg FROM ea GROUP BY dst) SELECT node, deg::BIGINT AS deg, round(deg / max(deg) OVER ()::DOUBLE, 6) AS hub FROM c")
@@ -89,17 +106,17 @@ def hub_top20pct(spark: SparkSession, d: str) -> DataFrame:
     return g.hubs(g.in_degree(graph_a(spark, d)), 0.2, "deg").select("node", "deg")
 
 
-@query("induced_subgraph", f"WITH {B} SELECT src, dst, etype FROM eb WHERE src IN ('p1', 'p2', 'p3', 'p4') AND dst IN (SELECT 's' || s_suppkey FROM supplier WHERE s_suppkey % 2 = 0)")
+@query("induced_subgraph", f"WITH {B}, big AS (SELECT 'p' || p_partkey AS node FROM part WHERE p_size >= 40), rich AS (SELECT 's' || s_suppkey AS node FROM supplier WHERE s_acctbal > 0) SELECT src, dst, etype FROM eb WHERE src IN (SELECT node FROM big) AND dst IN (SELECT node FROM rich)")
 def induced_subgraph(spark: SparkSession, d: str) -> DataFrame:
-    some = table(spark, d, "supplier").where("s_suppkey % 2 = 0").select(F.concat(F.lit("s"), "s_suppkey").alias("node"))
-    nodes = some.unionByName(spark.createDataFrame([("p1",), ("p2",), ("p3",), ("p4",)], "node string"))
-    return g.subgraph(graph_b(spark, d), nodes).select("src", "dst", "etype")
+    big = table(spark, d, "part").where("p_size >= 40").select(F.concat(F.lit("p"), "p_partkey").alias("node"))
+    rich = table(spark, d, "supplier").where("s_acctbal > 0").select(F.concat(F.lit("s"), "s_suppkey").alias("node"))
+    return g.subgraph(graph_b(spark, d), big.unionByName(rich)).select("src", "dst", "etype")
 
 
-@query("remove_node", f"WITH {A} SELECT count(*)::BIGINT AS edges, count(DISTINCT src)::BIGINT AS sources FROM ea WHERE src NOT IN ('c1', 's1') AND dst NOT IN ('c1', 's1')")
+@query("remove_node", f"WITH {A}, gone AS (SELECT 'c' || c_custkey AS node FROM customer WHERE c_acctbal < 0 UNION ALL SELECT 's' || s_suppkey FROM supplier WHERE s_acctbal < 0) SELECT count(*)::BIGINT AS edges, count(DISTINCT src)::BIGINT AS sources FROM ea WHERE src NOT IN (SELECT node FROM gone) AND dst NOT IN (SELECT node FROM gone)")
 def remove_node(spark: SparkSession, d: str) -> DataFrame:
     e = graph_a(spark, d)
-    gone = spark.createDataFrame([("c1",), ("s1",)], "node string")
+    gone = table(spark, d, "customer").where("c_acctbal < 0").select(F.concat(F.lit("c"), "c_custkey").alias("node")).unionByName(table(spark, d, "supplier").where("s_acctbal < 0").select(F.concat(F.lit("s"), "s_suppkey").alias("node")))
     _, left = g.remove_nodes(e.select(F.col("src").alias("node")).distinct(), e, gone)
     return left.agg(F.count("*").alias("edges"), F.countDistinct("src").alias("sources"))
 
@@ -114,9 +131,10 @@ def edge_summary(spark: SparkSession, d: str) -> DataFrame:
     return g.edge_text(graph_b(spark, d))
 
 
-@query("neighbour_list", f"WITH {B}, x AS (SELECT DISTINCT src AS node, dst AS other, 'out' AS side, etype FROM eb WHERE src = 'p5' UNION SELECT DISTINCT dst, src, 'in', etype FROM eb WHERE dst = 's7') SELECT node, other, side, etype FROM (SELECT *, row_number() OVER (PARTITION BY node, side ORDER BY other, etype) AS n FROM x) WHERE n <= 20")
+@query("neighbour_list", f"WITH {B}, st AS ({PARTS} UNION ALL {SUPPLIERS}), x AS (SELECT DISTINCT src AS node, dst AS other, 'out' AS side, etype FROM eb WHERE src IN (SELECT start FROM st) UNION SELECT DISTINCT dst, src, 'in', etype FROM eb WHERE dst IN (SELECT start FROM st)) SELECT node, other, side, etype FROM (SELECT *, row_number() OVER (PARTITION BY node, side ORDER BY other, etype) AS n FROM x) WHERE n <= 20")
 def neighbour_list(spark: SparkSession, d: str) -> DataFrame:
-    return g.neighbours(graph_b(spark, d), spark.createDataFrame([("p5",), ("s7",)], "node string")).select("node", "other", "side", "etype")
+    nodes = parts(spark, d).unionByName(starts(spark, d, "supplier", "s_suppkey")).withColumnRenamed("start", "node")
+    return g.neighbours(graph_b(spark, d), nodes).select("node", "other", "side", "etype")
 
 
 _PR = "r{i} AS (SELECT n.node, 0.15::DOUBLE / cnt + 0.85::DOUBLE * (coalesce(g.got, 0) + (SELECT sum(score) FROM r{j} WHERE node NOT IN (SELECT src FROM od)) / cnt) AS score FROM nd n LEFT JOIN (SELECT ea.dst AS node, sum(r.score / od.deg) AS got FROM ea JOIN od ON od.src = ea.src JOIN r{j} r ON r.node = ea.src GROUP BY ea.dst) g ON g.node = n.node, nc)"
@@ -139,12 +157,8 @@ def href_edges(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a[^>]*href="([^"]*)"'), 1)).alias("target"))
 
 
-@query("bridge_counts")
-def bridge_counts(spark: SparkSession, d: str) -> DataFrame:
-    one = lambda xs: spark.createDataFrame([(1, x, i) for i, x in enumerate(xs, 1)], "query_id int, doc_id string, rank int")
-    return g.bridge_counts(spark, graph_b(spark, d), one(["p1", "p2", "p3"]), one(["p9", "p10", "s4"]))
-
-
-@query("reachable_within", _bfs_sql(f"{B}, e AS (SELECT src, dst FROM eb)", "['p1', 'p2']", 6).replace("SELECT start, node, min(dist)::BIGINT AS dist FROM r WHERE node <> start  GROUP BY start, node", "SELECT start, count(DISTINCT node)::BIGINT AS reachable FROM r WHERE node <> start GROUP BY start"))
+@query("reachable_within", _bfs_sql(f"{D}, e AS (SELECT src, dst FROM ed UNION ALL SELECT dst, src FROM ed)", PARTS, 6).replace("SELECT start, node, min(dist)::BIGINT AS dist FROM r WHERE node <> start  GROUP BY start, node", "SELECT start, count(DISTINCT node)::BIGINT AS reachable, count(DISTINCT left(node, 1))::BIGINT AS files FROM (SELECT * FROM r UNION ALL SELECT start, start, 0 FROM st) GROUP BY start").replace("count(DISTINCT node)", "count(DISTINCT node) - 1"))
 def reachable_within(spark: SparkSession, d: str) -> DataFrame:
-    return g.reachable_within(spark, graph_b(spark, d), starts(spark, "p1", "p2"))
+    """The kinds of the nodes stand for their files."""
+    e = graph_d(spark, d)
+    return g.reachable_within(spark, e.select("src", "dst").unionByName(g.reverse(e).select("src", "dst")), parts(spark, d), file=F.substring("node", 1, 1)).select("start", "reachable", "files")

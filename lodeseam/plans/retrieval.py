@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeseam.functions import text as tx
 from lodeseam.functions.words import BUILD_STOPS, GREP_STOPS, QUERY_STOPS
+from lodeseam.operators import graph
 from lodeseam.operators import rank as rk
 from lodeseam.plans.registry import query, sql_list, table
+from lodeseam.session import persisted
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
@@ -53,12 +57,25 @@ BOTH = "WITH " + BM25 + KEYWORD
 DEPTH = 60
 
 
-def bm(spark: SparkSession, d: str, k: int = DEPTH) -> DataFrame:
-    return rk.bm25(questions(spark, d), corpus(spark, d), k)
+class Lexical:
+    """The questions and the postings that all their lexical rankings read."""
+
+    def __init__(self, spark: SparkSession, d: str) -> None:
+        self.questions = questions(spark, d)
+        self.postings = rk.index(corpus(spark, d), vocabulary=rk.query_terms(self.questions))
+
+    @cached_property
+    def legs(self) -> dict[str, DataFrame]:
+        return rk.lexical_legs(self.questions, self.postings, DEPTH)
 
+    def bm(self, k: int = DEPTH) -> DataFrame:
+        return self.legs["bm25"].where(F.col("rank") <= k)
 
-def kw(spark: SparkSession, d: str, k: int = DEPTH) -> DataFrame:
-    return rk.keyword_search(questions(spark, d), corpus(spark, d), k)
+    def kw(self, k: int = DEPTH) -> DataFrame:
+        return self.legs["keyword"].where(F.col("rank") <= k)
+
+    def bset(self, k: int = DEPTH) -> DataFrame:
+        return self.legs["tokenset"].where(F.col("rank") <= k)
 
 
 def _ranked(df: DataFrame) -> DataFrame:
@@ -151,15 +168,13 @@ def doc_len(spark: SparkSession, d: str) -> DataFrame:
 
 @query("term_stats", "WITH " + POSTINGS + " SELECT token, df::BIGINT AS df, round(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 6) AS idf FROM dfs, st")
 def term_stats(spark: SparkSession, d: str) -> DataFrame:
-    c = corpus(spark, d)
-    n = c.count()
-    post = rk.postings(c)
-    return post.groupBy("token").agg(F.count("*").alias("df")).select("token", "df", F.round(F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6).alias("idf"))
+    post = rk.index(corpus(spark, d))
+    return rk.inverse_frequency(post.rows, post.n).select("token", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("inverted_postings", "WITH " + POSTINGS + " SELECT doc_id, token, tf::BIGINT AS tf FROM post WHERE token IN (SELECT token FROM qt)")
 def inverted_postings(spark: SparkSession, d: str) -> DataFrame:
-    return rk.postings(corpus(spark, d), vocabulary=rk.query_terms(questions(spark, d))).select("doc_id", "token", "tf")
+    return Lexical(spark, d).postings.rows.select("doc_id", "token", "tf")
 
 
 @query("posting_lookup", "WITH " + POSTINGS + " SELECT token, count(*)::BIGINT AS docs, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM post WHERE token IN ('license', 'rights', 'version', 'loser') GROUP BY token")
@@ -173,7 +188,8 @@ def posting_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 @query("bm25_topk", "WITH " + BM25 + " SELECT * FROM bm WHERE rank <= 10")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(bm(spark, d, 10))
+    x = Lexical(spark, d)
+    return _ranked(rk.bm25(x.questions, x.postings, 10))
 
 
 _SET = f"list_distinct({DOC_TOKENS})"
@@ -181,7 +197,8 @@ _SET = f"list_distinct({DOC_TOKENS})"
 
 @query("bm25_tokenset", "WITH " + BM25.replace(DOC_TOKENS, _SET) + " SELECT * FROM bm WHERE rank <= 10")
 def bm25_tokenset(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(rk.bm25(questions(spark, d), corpus(spark, d), 10, distinct_doc_tokens=True))
+    x = Lexical(spark, d)
+    return _ranked(rk.bm25(x.questions, x.postings, 10, distinct_doc_tokens=True))
 
 
 @query("bm25_in_group", "WITH " + BM25.replace("FROM documents", "FROM documents WHERE source = 'src1'") + " SELECT * FROM bm WHERE rank <= 10")
@@ -193,7 +210,8 @@ def bm25_in_group(spark: SparkSession, d: str) -> DataFrame:
 
 @query("keyword_search", BOTH + " SELECT * FROM kw WHERE rank <= 10")
 def keyword_search(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(kw(spark, d, 10))
+    x = Lexical(spark, d)
+    return _ranked(rk.keyword_search(x.questions, x.postings, 10))
 
 
 _GREP = f"""WITH k0 AS (SELECT item_id, lower(unnest(ws)) AS w, generate_subscripts(ws, 1) AS pos FROM (SELECT item_id, regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{{2,}}') AS ws FROM benchmark)),
@@ -215,7 +233,8 @@ def grep_rank(spark: SparkSession, d: str) -> DataFrame:
 
 @query("rrf_2way", BOTH + ", f AS (SELECT query_id, doc_id, round(sum(s), 6) AS score FROM (SELECT query_id, doc_id, 1.0::DOUBLE / (60 + rank) AS s FROM bm WHERE rank <= 60 UNION ALL SELECT query_id, doc_id, 1.0::DOUBLE / (60 + rank) FROM kw WHERE rank <= 60) GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f) WHERE rank <= 10")
 def rrf_2way(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(rk.rrf([bm(spark, d), kw(spark, d)], 10))
+    x = Lexical(spark, d)
+    return _ranked(rk.rrf([x.bm(), x.kw()], 10))
 
 
 _SETRANK = "WITH " + BM25.replace(DOC_TOKENS, _SET).replace("bm AS", "bset AS").replace("bs AS", "bset0 AS").replace("FROM bs ", "FROM bset0 ").replace("dt AS", "dt2 AS").replace("FROM dt)", "FROM dt2)").replace("st AS", "st2 AS").replace("tok AS", "tok2 AS").replace("FROM tok ", "FROM tok2 ").replace("post AS", "post2 AS").replace("FROM post ", "FROM post2 ").replace("qt AS", "qt2 AS").replace("dfs AS", "dfs2 AS").replace("JOIN qt ", "JOIN qt2 ").replace("JOIN dfs ", "JOIN dfs2 ").replace(", st GROUP", ", st2 GROUP").replace("FROM dt2), ", "FROM dt2), ")
@@ -223,18 +242,16 @@ _THREE = BOTH + ", " + _SETRANK.removeprefix("WITH ")
 _FUSE = ", f AS (SELECT query_id, doc_id, round(sum(s), 6) AS score FROM (SELECT query_id, doc_id, {a}::DOUBLE / (60 + rank) AS s FROM bm WHERE rank <= 60 UNION ALL SELECT query_id, doc_id, {b}::DOUBLE / (60 + rank) FROM kw WHERE rank <= 60 UNION ALL SELECT query_id, doc_id, {c}::DOUBLE / (60 + rank) FROM bset WHERE rank <= 60) GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f) WHERE rank <= 10"
 
 
-def bset(spark: SparkSession, d: str) -> DataFrame:
-    return rk.bm25(questions(spark, d), corpus(spark, d), DEPTH, distinct_doc_tokens=True)
-
-
 @query("rrf_3way", _THREE + _FUSE.format(a="1.0", b="1.0", c="1.0"))
 def rrf_3way(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(rk.rrf([bm(spark, d), kw(spark, d), bset(spark, d)], 10))
+    x = Lexical(spark, d)
+    return _ranked(rk.rrf([x.bm(), x.kw(), x.bset()], 10))
 
 
 @query("rrf_weighted", _THREE + _FUSE.format(a="1.0", b="1.0", c="2.0"))
 def rrf_weighted(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(rk.rrf([bm(spark, d), kw(spark, d), bset(spark, d)], 10, weights=[1.0, 1.0, 2.0]))
+    x = Lexical(spark, d)
+    return _ranked(rk.rrf([x.bm(), x.kw(), x.bset()], 10, weights=[1.0, 1.0, 2.0]))
 
 
 _GROUPED = """, bg AS (SELECT query_id, source AS grp, min(rank) AS f FROM bm JOIN documents USING (doc_id) WHERE rank <= 60 GROUP BY ALL),
@@ -246,7 +263,8 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score
 
 @query("rrf_group", BOTH + _GROUPED)
 def rrf_group(spark: SparkSession, d: str) -> DataFrame:
-    return rk.rrf_groups([bm(spark, d), kw(spark, d)], groups(spark, d), 10).select("query_id", "grp", "rank", "score")
+    x = Lexical(spark, d)
+    return rk.rrf_groups([x.bm(), x.kw()], groups(spark, d), 10).select("query_id", "grp", "rank", "score")
 
 
 _NORM = """, n0 AS (SELECT query_id, doc_id, score / max(score) OVER (PARTITION BY query_id) AS s, 0 AS leg FROM bm WHERE rank <= 60 UNION ALL SELECT query_id, doc_id, score / max(score) OVER (PARTITION BY query_id), 1 FROM kw WHERE rank <= 60)"""
@@ -254,17 +272,20 @@ _NORM = """, n0 AS (SELECT query_id, doc_id, score / max(score) OVER (PARTITION
 
 @query("hybrid_maxnorm", BOTH + _NORM + ", h AS (SELECT query_id, doc_id, round(sum(s), 6) AS score FROM n0 GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM h) WHERE rank <= 25")
 def hybrid_maxnorm(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(rk.hybrid_max_norm([bm(spark, d), kw(spark, d)], 10))
+    x = Lexical(spark, d)
+    return _ranked(rk.hybrid_max_norm([x.bm(), x.kw()], 10))
 
 
 @query("primary_pool", BOTH + _NORM + ", h AS (SELECT query_id, doc_id, round(coalesce(max(s) FILTER (leg = 0), max(s)), 6) AS score, min(leg) AS late FROM n0 GROUP BY ALL) SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY late, score DESC, doc_id) AS rank FROM h) WHERE rank <= 25")
 def primary_pool(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(rk.primary_pool(bm(spark, d), kw(spark, d), 25))
+    x = Lexical(spark, d)
+    return _ranked(rk.primary_pool(x.bm(), x.kw(), 25))
 
 
 @query("pool_rerank", BOTH + ", p AS (SELECT bm.query_id, bm.doc_id, round(coalesce(kw.score, bm.score / max(bm.score) OVER (PARTITION BY bm.query_id)), 6) AS score, (kw.score IS NULL)::INT AS none FROM bm LEFT JOIN (SELECT * FROM kw WHERE rank <= 60) kw ON bm.query_id = kw.query_id AND bm.doc_id = kw.doc_id WHERE bm.rank <= 60) SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY none, score DESC, doc_id) AS rank FROM p) WHERE rank <= 10")
 def pool_rerank(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(rk.rerank_pool(bm(spark, d), kw(spark, d), 10))
+    x = Lexical(spark, d)
+    return _ranked(rk.rerank_pool(x.bm(), x.kw(), 10))
 
 
 @query(
@@ -274,8 +295,9 @@ def pool_rerank(spark: SparkSession, d: str) -> DataFrame:
     SELECT query_id, doc_id, rank, bucket FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY late, bucket, coalesce(spos, pos), pos, doc_id) AS rank FROM r) WHERE rank <= 10""",
 )
 def rerank_buckets(spark: SparkSession, d: str) -> DataFrame:
+    x = Lexical(spark, d)
     named = table(spark, d, "documents").select("doc_id", F.col("source").alias("name"), (F.col("lang") == "fr").alias("is_test"))
-    return rk.structural_rerank(bm(spark, d, 50), kw(spark, d, 40), named, questions(spark, d), 10)
+    return rk.structural_rerank(x.bm(50), x.kw(40), named, questions(spark, d), 10)
 
 
 _DIVERSE = "SELECT query_id, doc_id, rank, score FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY old, doc_id) AS rank FROM (SELECT query_id, doc_id, score, rank AS old, row_number() OVER (PARTITION BY query_id, source ORDER BY rank, doc_id) AS seat FROM bm JOIN documents USING (doc_id) WHERE rank <= 60) WHERE seat <= 2) WHERE rank <= 10"
@@ -283,23 +305,45 @@ _DIVERSE = "SELECT query_id, doc_id, rank, score FROM (SELECT query_id, doc_id,
 
 @query("diverse_topk", "WITH " + BM25 + " " + _DIVERSE)
 def diverse_topk(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(rk.diverse(bm(spark, d), groups(spark, d), 10))
+    x = Lexical(spark, d)
+    return _ranked(rk.diverse(x.bm(), groups(spark, d), 10))
+
+
+_BRIDGES = """, sd AS (SELECT k.query_id, k.doc_id AS a, l.doc_id AS b, row_number() OVER (PARTITION BY k.query_id ORDER BY k.rank + l.rank, k.rank) AS n FROM kw k JOIN bm l ON k.query_id = l.query_id AND k.doc_id <> l.doc_id WHERE k.rank <= 6 AND l.rank <= 6),
+    pt AS (SELECT query_id, a, b, CASE WHEN x.lang = y.lang THEN 'lang:' || x.lang WHEN x.source = y.source THEN 'source:' || x.source END AS via FROM sd JOIN documents x ON x.doc_id = a JOIN documents y ON y.doc_id = b WHERE n <= 24),
+    br AS (SELECT query_id, node, count(*) AS n FROM (SELECT query_id, unnest(['doc:' || a, via, 'doc:' || b]) AS node FROM pt WHERE via IS NOT NULL) GROUP BY ALL)"""
+
+
+def bridges(spark: SparkSession, d: str, x: Lexical) -> DataFrame:
+    """(query_id, node, n): nodes on the shortest paths between the first hits of two lists, where documents are tied
+    by their language and their source."""
+    docs = table(spark, d, "documents")
+    node = F.concat(F.lit("doc:"), "doc_id")
+    ties = docs.select(node.alias("src"), F.concat(F.lit("lang:"), "lang").alias("dst")).unionByName(docs.select(node.alias("src"), F.concat(F.lit("source:"), "source").alias("dst")))
+    named = lambda leg: leg.withColumn("doc_id", node)
+    return graph.bridge_counts(spark, ties, named(x.kw()), named(x.bm())).withColumnRenamed("doc_id", "node")
+
+
+@query("bridge_counts", BOTH + _BRIDGES + " SELECT query_id, node, n::BIGINT AS n FROM br")
+def bridge_counts(spark: SparkSession, d: str) -> DataFrame:
+    return bridges(spark, d, Lexical(spark, d))
 
 
 @query(
     "chain_consensus",
-    BOTH + """, s AS (SELECT query_id, doc_id, rank AS sr FROM kw WHERE rank <= 30), l AS (SELECT query_id, doc_id, rank AS lr FROM bm WHERE rank <= 30),
-    r AS (SELECT query_id, doc_id, sr, lr, source AS grp FROM s FULL JOIN l USING (query_id, doc_id) JOIN documents USING (doc_id)),
+    BOTH + _BRIDGES + """, s AS (SELECT query_id, doc_id, rank AS sr FROM kw WHERE rank <= 30), l AS (SELECT query_id, doc_id, rank AS lr FROM bm WHERE rank <= 30), bd AS (SELECT query_id, substr(node, 5)::BIGINT AS doc_id, n FROM br WHERE starts_with(node, 'doc:')),
+    r AS (SELECT query_id, doc_id, sr, lr, coalesce(n, 0) AS n, source AS grp FROM s FULL JOIN l USING (query_id, doc_id) FULL JOIN bd USING (query_id, doc_id) JOIN documents USING (doc_id)),
     a AS (SELECT *, max(coalesce(sr <= 10, false)::INT) OVER w + max(coalesce(lr <= 10, false)::INT) OVER w = 2 AS agreed FROM r WINDOW w AS (PARTITION BY query_id, grp)),
-    c AS (SELECT query_id, doc_id, grp, round(CASE WHEN sr IS NULL THEN 0.0::DOUBLE ELSE 2.4::DOUBLE / (60 + sr) END + CASE WHEN lr IS NULL THEN 0.0::DOUBLE ELSE 2.0::DOUBLE / (60 + lr) END + CASE WHEN sr IS NULL OR lr IS NULL THEN 0.0::DOUBLE ELSE 0.080::DOUBLE END + CASE WHEN agreed THEN 0.035::DOUBLE ELSE 0.0::DOUBLE END, 6) AS score,
-      array_to_string(list_sort(list_filter([CASE WHEN sr IS NOT NULL THEN 'structural' END, CASE WHEN lr IS NOT NULL THEN 'lexical' END, CASE WHEN sr IS NOT NULL AND lr IS NOT NULL THEN 'consensus' END, CASE WHEN agreed THEN 'same-group' END], lambda x: x IS NOT NULL)), ',') AS reasons FROM a),
+    c AS (SELECT query_id, doc_id, grp, round(CASE WHEN sr IS NULL THEN 0.0::DOUBLE ELSE 2.4::DOUBLE / (60 + sr) END + CASE WHEN lr IS NULL THEN 0.0::DOUBLE ELSE 2.0::DOUBLE / (60 + lr) END + CASE WHEN sr IS NULL OR lr IS NULL THEN 0.0::DOUBLE ELSE 0.080::DOUBLE END + CASE WHEN agreed THEN 0.035::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN n > 0 THEN 0.070::DOUBLE + 0.015::DOUBLE * n ELSE 0.0::DOUBLE END, 6) AS score,
+      array_to_string(list_sort(list_filter([CASE WHEN sr IS NOT NULL THEN 'structural' END, CASE WHEN lr IS NOT NULL THEN 'lexical' END, CASE WHEN sr IS NOT NULL AND lr IS NOT NULL THEN 'consensus' END, CASE WHEN agreed THEN 'same-group' END, CASE WHEN n > 0 THEN 'graph-path' END], lambda x: x IS NOT NULL)), ',') AS reasons FROM a),
     k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, grp, doc_id) AS old FROM c),
     v AS (SELECT *, row_number() OVER (PARTITION BY query_id, grp ORDER BY old, doc_id) AS seat FROM k)
     SELECT query_id, doc_id, score, reasons, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY old, doc_id) AS rank FROM v WHERE seat <= 2) WHERE rank <= 10""",
 )
 def chain_consensus(spark: SparkSession, d: str) -> DataFrame:
-    none = spark.createDataFrame([], "query_id long, doc_id long, n long")
-    return rk.evidence_chain(kw(spark, d, 30), bm(spark, d, 30), groups(spark, d), none, 10).select("query_id", "doc_id", "score", "reasons", "rank")
+    x = Lexical(spark, d)
+    on_paths = bridges(spark, d, x).where("node LIKE 'doc:%'").select("query_id", F.substring("node", 5, 40).cast("long").alias("doc_id"), "n")
+    return rk.evidence_chain(x.kw(30), x.bm(30), groups(spark, d), on_paths, 10).select("query_id", "doc_id", "score", "reasons", "rank")
 
 
 @query(
@@ -310,14 +354,15 @@ def chain_consensus(spark: SparkSession, d: str) -> DataFrame:
     UNION ALL SELECT item_id, NULL, 0, 'none', 'MISS' FROM benchmark WHERE item_id NOT IN (SELECT query_id FROM e) AND item_id NOT IN (SELECT query_id FROM bm) AND item_id NOT IN (SELECT query_id FROM kw)""",
 )
 def fallback_ladder(spark: SparkSession, d: str) -> DataFrame:
-    return rk.fallback_ladder(questions(spark, d), [("entity", "HIGH", exact_hits(spark, d)), ("bm25", "MEDIUM", bm(spark, d, 5)), ("keyword", "LOW", kw(spark, d, 5))])
+    x = Lexical(spark, d)
+    return rk.fallback_ladder(questions(spark, d), [("entity", "HIGH", exact_hits(spark, d)), ("bm25", "MEDIUM", x.bm(5)), ("keyword", "LOW", x.kw(5))])
 
 
 def exact_hits(spark: SparkSession, d: str) -> DataFrame:
     """(query_id, doc_id, rank, score): documents that hold an item's whole text."""
-    q = questions(spark, d).withColumnRenamed("text", "item")
-    hits = corpus(spark, d).join(rk._bounded(q, 10_000), F.col("text").contains(F.col("item"))).select("query_id", "doc_id", F.lit(1.0).alias("score"))
-    return rk.top_k(hits, 1 << 30)
+    texts = corpus(spark, d).select("doc_id", F.col("text").alias("t"))
+    hits = rk.holding(texts, questions(spark, d).withColumnRenamed("text", "phrase"))
+    return rk.top_k(hits.withColumn("score", F.lit(1.0)), 1 << 30)
 
 
 @query(
@@ -326,7 +371,8 @@ def exact_hits(spark: SparkSession, d: str) -> DataFrame:
     SELECT query_id, doc_id, 'entity' AS source FROM e UNION ALL SELECT query_id, doc_id, 'lexical' FROM bm WHERE rank <= 3 AND query_id IN (SELECT query_id FROM m) AND (query_id, doc_id) NOT IN (SELECT (query_id, doc_id) FROM e)""",
 )
 def weak_entity_boost(spark: SparkSession, d: str) -> DataFrame:
-    return rk.weak_entity_boost(exact_hits(spark, d), bm(spark, d, 3), weak=1)
+    x = Lexical(spark, d)
+    return rk.weak_entity_boost(exact_hits(spark, d), x.bm(3), weak=1)
 
 
 @query(
@@ -343,7 +389,8 @@ def lexical_scan(spark: SparkSession, d: str) -> DataFrame:
 
 @query("loop_merge", BOTH + ", f AS (SELECT query_id, doc_id, round(sum(s), 6) AS score FROM (SELECT query_id, doc_id, 1.0::DOUBLE / (60 + rank) AS s FROM kw WHERE rank <= 3 UNION ALL SELECT query_id, doc_id, 1.0::DOUBLE / (60 + rank) FROM bm WHERE rank <= 20) GROUP BY ALL) SELECT query_id, doc_id, score, rank FROM (SELECT f.*, row_number() OVER (PARTITION BY f.query_id ORDER BY f.score DESC, b.rank NULLS LAST, f.doc_id) AS rank FROM f LEFT JOIN (SELECT * FROM bm WHERE rank <= 20) b ON f.query_id = b.query_id AND f.doc_id = b.doc_id) WHERE rank <= 10")
 def loop_merge(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(rk.loop_merge(kw(spark, d, 3), bm(spark, d, 20), 10))
+    x = Lexical(spark, d)
+    return _ranked(rk.loop_merge(x.kw(3), x.bm(20), 10))
 
 
 # ---- vectors
@@ -366,11 +413,12 @@ def dense_all(spark: SparkSession, d: str) -> DataFrame:
     return _ranked(rk.dense(*_vectors(spark, d), 25, positive=False))
 
 
-@query("dense_rescore", f"WITH {_DENSE} SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE doc_id % 20 = 1 AND query_id <> doc_id")
+@query("dense_rescore", f"WITH {_DENSE}, k AS (SELECT query_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 25), j AS (SELECT DISTINCT a.query_id, b.doc_id FROM k a JOIN k b ON a.doc_id = b.query_id) SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s JOIN j USING (query_id, doc_id)")
 def dense_rescore(spark: SparkSession, d: str) -> DataFrame:
+    """What the nearest questions of a question found, scored for itself."""
     q, c = _vectors(spark, d)
-    some = c.where("doc_id % 20 = 1").select("doc_id")
-    pairs = q.select("query_id").join(F.broadcast(some), F.col("query_id") != F.col("doc_id"))
+    found = persisted(spark, rk.dense(q, c, 25, positive=False).select("query_id", "doc_id"), "found")
+    pairs = found.select("query_id", F.col("doc_id").alias("other")).join(found.select(F.col("query_id").alias("other"), "doc_id"), "other")
     return _ranked(rk.rescore(pairs, q, c))
 
 

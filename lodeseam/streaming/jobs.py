@@ -6,10 +6,12 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lodeseam.operators import sessions
+from lodeseam.session import persisted, scope
 
 
 def windowed(events: DataFrame, size: str = "5 minutes", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
@@ -57,23 +59,31 @@ def append_log(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 
 
 def drain_queue(stream: DataFrame, work: Callable[[DataFrame], None], checkpoint: str, batch: int = 10) -> StreamingQuery:
-    """Hands on the latest entry of each key, ``batch`` at a time; the rest of a trigger's rows follow in turn."""
+    """Hands on the latest entry of each key, ``batch`` at a time; the rest of a trigger's rows follow in turn.
+
+    A trigger's entries are those of one bounded queue: they are numbered once and written, then read by number.
+    """
 
     def handle(rows: DataFrame, _: int) -> None:
-        left = sessions.latest_of(rows, ["fqn"], ["enqueued_at"]).orderBy("enqueued_at", "fqn")
-        n = left.count()
-        for at in range(0, n, batch):
-            work(left.offset(at).limit(batch))
+        spark = rows.sparkSession
+        with scope(spark):
+            number = F.row_number().over(W.orderBy("enqueued_at", "fqn"))
+            left = persisted(spark, sessions.latest_of(rows, ["fqn"], ["enqueued_at"]).withColumn("__n", number), "queue")
+            for at in range(0, left.count(), batch):
+                work(left.where(F.col("__n").between(at + 1, at + batch)).orderBy("__n").drop("__n"))
 
     return each_batch(stream, handle, checkpoint)
 
 
 def keep_index(spark: SparkSession, changes: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Keeps a saved index current from a stream of (path, language, content, sha); null content deletes a path."""
+    """Keeps a saved index current from a stream of (seq, path, language, content, sha).
+
+    Of a batch's changes to a path the one of the greatest ``seq`` counts; null content deletes a path.
+    """
     from lodeseam.engine import Index
 
     def handle(rows: DataFrame, _: int) -> None:
-        latest = rows.dropDuplicates(["path"])
+        latest = sessions.latest_of(rows, ["path"], ["seq"])
         old = Index.load(spark, folder)
         fresh = latest.where("content is not null").select("path", "language", "content", "sha")
         if old is None:
