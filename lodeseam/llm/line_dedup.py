@@ -8,7 +8,8 @@ its number is the rank of that bit) over compact arrays: a 64-bit fingerprint, t
 id.  A shard is one file in the shared folder.  Documents are then read once more: each line's hash gives a slot,
 the slot's fingerprint tells whether the line is in the index, and the arrays are read there; lines are never
 joined.  Files on a POSIX path are mapped into memory, so a probe touches only the pages it needs; files
-elsewhere are read through pyarrow's file systems, a few shards at a time.
+elsewhere are read through pyarrow's file systems, a few shards at a time.  A task probes for many documents at once,
+shard by shard, so each of its shards is opened once for ``PROBES`` lines.
 
 Hash and fingerprint together are 128 bits of one digest; two lines are taken as equal if those are.
 
@@ -37,6 +38,8 @@ MIN_CHARS, MIN_DOCS = 40, 5
 SHARD_KEYS, SPARSENESS, LEVELS = 1 << 18, 2.0, 40
 #: Hashes that a task holds before it passes its counts on, and shards that a worker keeps open.
 HELD, OPEN_SHARDS = 200_000, 16
+#: Lines and bytes of text that a task gathers before it probes.
+PROBES, PROBE_BYTES = 200_000, 32 << 20
 _NO_ID = np.iinfo(np.int64).min
 _open: dict[str, Shard] = {}
 
@@ -167,8 +170,8 @@ def count_lines(spark: SparkSession, docs: DataFrame, text_col: str, id_col: str
     return rows.groupBy("h", "fp").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
 
 
-def build_index(spark: SparkSession, docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS) -> tuple[str, int]:
-    """Writes the shards; their folder, and the number of bits of a hash that name its shard."""
+def build_index(spark: SparkSession, docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS) -> tuple[str, int, frozenset[int]]:
+    """Writes the shards; their folder, the number of bits of a hash that name its shard, and the shards that have keys."""
     ship_package(spark)
     small_batches(spark)
     often = persisted(spark, count_lines(spark, docs, text_col, id_col, min_chars).where(F.col("n") >= min_docs), "line-counts")
@@ -185,13 +188,13 @@ def build_index(spark: SparkSession, docs: DataFrame, *, text_col: str = "text",
 
     shard = F.shiftrightunsigned("h", 64 - bits).cast("int") if bits else F.lit(0)
     made = often.withColumn("shard", shard).groupBy("shard").applyInArrow(build, "shard int, keys long, bytes long")
-    persisted(spark, made, "line-shards")
-    return folder, bits
+    # One number for each ``shard_keys`` keys.
+    return folder, bits, frozenset(r["shard"] for r in persisted(spark, made, "line-shards").select("shard").collect())
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS) -> DataFrame:
     """``docs`` with n_lines, n_dropped and clean_text, the text without the lines that others keep."""
-    folder, bits = build_index(spark, docs, text_col=text_col, id_col=id_col, min_chars=min_chars, min_docs=min_docs, shard_keys=shard_keys)
+    folder, bits, shards_made = build_index(spark, docs, text_col=text_col, id_col=id_col, min_chars=min_chars, min_docs=min_docs, shard_keys=shard_keys)
     added = T.StructType.fromDDL("n_lines long, n_dropped long, clean_text string")
     kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in added.fieldNames()])
 
@@ -203,44 +206,51 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, *, text_col: str =
         shards = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
         for s in np.unique(shards).tolist():
             rows = np.flatnonzero(shards == s)
-            uri = f"{folder}/{s}.mph"
-            if (shard := _existing(uri)) is not None:
+            if s in shards_made:  # its file must be there: a lost shard fails the task
+                shard = _shard(f"{folder}/{s}.mph")
                 slots = shard.find(h[rows], fp[rows])
                 hit = slots >= 0
                 out[rows[hit]] = shard.top[slots[hit]]
                 known[rows[hit]] = True
         return np.where(known, out, np.iinfo(np.int64).max)
 
+    def clean(batch: pa.RecordBatch, lines: list[list[bytes | None]], at: list[tuple[int, int]], keeper: np.ndarray) -> pa.RecordBatch:
+        ids = batch.column(batch.schema.get_field_index(id_col)).to_pylist()
+        own = np.array([_NO_ID if ids[row] is None else ids[row] for row, _ in at], np.int64)
+        dropped = [0] * len(lines)
+        for x in np.flatnonzero((keeper != np.iinfo(np.int64).max) & (keeper != own)).tolist():
+            row, j = at[x]
+            lines[row][j] = None
+            dropped[row] += 1
+        texts = [b"\n".join([x for x in parts if x is not None]).decode("utf-8") for parts in lines]
+        cols = [*batch.columns, pa.array([len(x) for x in lines], pa.int64()), pa.array(dropped, pa.int64()), pa.array(texts, pa.string())]
+        return pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names, *added.fieldNames()])
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[pa.RecordBatch, list, list]] = []
+        digests: list[bytes] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal held, digests, size
+            keeper, upto = tops(digests) if digests else np.zeros(0, np.int64), 0
+            for batch, lines, at in held:
+                yield clean(batch, lines, at, keeper[upto : upto + len(at)])
+                upto += len(at)
+            held, digests, size = [], [], 0
+
         for batch in batches:
-            texts = [encoded(t.as_py()) for t in batch.column(batch.schema.get_field_index(text_col))]
-            ids = batch.column(batch.schema.get_field_index(id_col)).to_pylist()
-            lines = [t.split(b"\n") for t in texts]
-            at, digests = [], []
+            lines = [encoded(t.as_py()).split(b"\n") for t in batch.column(batch.schema.get_field_index(text_col))]
+            at = []
             for row, parts in enumerate(lines):
                 for j, line in enumerate(parts):
+                    size += len(line)
                     if len(line) >= min_chars and (k := line_key(line, min_chars)) is not None:
                         at.append((row, j))
                         digests.append(xxhash.xxh3_128_digest(k))
-            dropped = [0] * len(texts)
-            if digests:
-                keeper = tops(digests)
-                own = np.array([_NO_ID if ids[row] is None else ids[row] for row, _ in at], np.int64)
-                none = np.iinfo(np.int64).max
-                for x in np.flatnonzero((keeper != none) & (keeper != own)).tolist():
-                    row, j = at[x]
-                    lines[row][j] = None
-                    dropped[row] += 1
-            clean = [b"\n".join([x for x in parts if x is not None]) if n else t for parts, n, t in zip(lines, dropped, texts, strict=True)]
-            cols = [*batch.columns, pa.array([len(x) for x in lines], pa.int64()), pa.array(dropped, pa.int64()), pa.array([c.decode("utf-8") for c in clean], pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names, *added.fieldNames()])
+            held.append((batch, lines, at))
+            if len(digests) >= PROBES or size >= PROBE_BYTES:
+                yield from flush()
+        yield from flush()
 
     return kept.mapInArrow(work, T.StructType([*kept.schema.fields, *added.fields]))
-
-
-def _existing(uri: str) -> Shard | None:
-    """The shard, or None where no key fell into it."""
-    try:
-        return _shard(uri)
-    except FileNotFoundError:
-        return None
