@@ -25,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,8 +35,8 @@ from lodeseam.llm.shared_files import read_whole, write_whole
 from lodeseam.session import persisted, scratch, ship_package, small_batches
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
-SHARD_TOKENS, HELD_WORDS = 1 << 22, 1_200_000
-_encoders: dict[str, Encoder] = {}
+SHARD_TOKENS, HELD_WORDS, RANGE_BYTES = 1 << 22, 1_200_000, 256 << 20
+_encoders: dict[tuple[int, int], Encoder] = {}
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -48,16 +48,17 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 class Encoder:
     """Encodes batches of texts, keeping the ids of the words it has met.
 
-    Only for tokenizers that drop white space and lower-case A-Z, as the default one.
+    ``definition`` is the text of a tokenizer file.  Only for tokenizers that drop white space and lower-case A-Z, as the
+    default one.
     """
 
-    def __init__(self, path: str, end_id: int = END_ID) -> None:
+    def __init__(self, definition: str, end_id: int = END_ID) -> None:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        self.tokenizer, self.end_id = Tokenizer.from_str(definition), end_id
         self._forget()
 
     def _forget(self) -> None:
@@ -111,10 +112,12 @@ class Encoder:
         return ids, sizes
 
 
-def _encoder(path: str, end_id: int) -> Encoder:
-    key = f"{path}|{end_id}"
+def _encoder(sent: Broadcast[str], end_id: int) -> Encoder:
+    """The worker's encoder, kept for the tasks that follow."""
+    key = (hash(sent.value), end_id)
     if key not in _encoders:
-        _encoders[key] = Encoder(path, end_id)
+        _encoders.clear()
+        _encoders[key] = Encoder(sent.value, end_id)
     return _encoders[key]
 
 
@@ -124,15 +127,24 @@ class Store:
     manifest: str
 
 
+def _scanned_bytes(df: DataFrame) -> int:
+    """The size of the one table that a plan scans; 0 where it is another plan, or the size isn't known."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    size = int(str(plan.stats().sizeInBytes()))
+    return size if plan.collectLeaves().size() == 1 and size < 1 << 60 else 0
+
+
 def write_store(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, tokenizer: str | None = None, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> Store:
     """Writes the shards (``<task>-<number>.wm``) and the manifest (part, seq, docs, tokens, path)."""
     ship_package(spark)
     small_batches(spark, 1024)
-    folder = folder or scratch(spark, "tokens")
-    path = tokenizer or tokenizer_path()
+    folder = folder or scratch(spark, "tokens", lasting=True)
+    # The tokenizer's file is sent along: executors need not have it at the driver's path.
+    with open(tokenizer or tokenizer_path(), encoding="utf-8") as f:
+        sent = spark.sparkContext.broadcast(f.read())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = _encoder(path, end_id), TaskContext.get().partitionId()
+        encoder, part = _encoder(sent, end_id), TaskContext.get().partitionId()
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         seq = total = 0
 
@@ -163,7 +175,10 @@ def write_store(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id",
             yield flush()
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    made = rows.repartitionByRange("id").sortWithinPartitions("id", "text").mapInArrow(work, "part int, seq int, docs long, tokens long, path string")
+    # Where the session's partition count would make ranges of much over RANGE_BYTES of input, more are made.
+    ranges = _scanned_bytes(rows) // RANGE_BYTES
+    dealt = rows.repartitionByRange(ranges, "id") if ranges > int(spark.conf.get("spark.sql.shuffle.partitions")) else rows.repartitionByRange("id")
+    made = dealt.sortWithinPartitions("id", "text").mapInArrow(work, "part int, seq int, docs long, tokens long, path string")
     manifest = f"{folder}-manifest"
     made.write.parquet(manifest)
     return Store(folder, manifest)
