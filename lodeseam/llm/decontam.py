@@ -16,13 +16,14 @@ replaced.
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,8 +32,11 @@ from lodeseam.llm.bytes_text import ALNUM, alnum_words, encoded
 from lodeseam.session import ship_package, small_batches
 
 WINDOW = 10
-BLOCK_WORDS = 400_000
+#: An automaton of so many words takes some 130 MB of a worker.
+BLOCK_WORDS = 150_000
 MAX_COVERAGE = 0.5
+#: Automata that a worker keeps; each block's pass runs in workers of its own.
+HELD_AUTOMATA = 1
 _automata: dict[str, Automaton] = {}
 
 
@@ -169,13 +173,13 @@ def read_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: i
         yield block
 
 
-def _automaton(items: list[tuple[str, bytes]], window: int) -> Automaton:
+def _automaton(name: str, sent: Broadcast[list[tuple[str, bytes]]], window: int) -> Automaton:
     """The worker's automaton of this block: built once, and kept for the tasks that follow."""
-    key = hashlib.sha256(repr((window, items)).encode()).hexdigest()
-    if key not in _automata:
-        _automata.clear()
-        _automata[key] = Automaton(items, window)
-    return _automata[key]
+    if name not in _automata:
+        while len(_automata) >= HELD_AUTOMATA:
+            _automata.pop(next(iter(_automata)))
+        _automata[name] = Automaton(sent.value, window)
+    return _automata[name]
 
 
 def scan_documents(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -194,11 +198,11 @@ def scan_documents(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *
 
 
 def _pass(spark: SparkSession, df: DataFrame, block: list[tuple[str, bytes]], text_col: str, window: int) -> DataFrame:
-    sent = spark.sparkContext.broadcast(block)
+    sent, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
     schema = df.schema
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(sent.value, window)
+        automaton = _automaton(name, sent, window)
         for batch in batches:
             at = {n: batch.schema.get_field_index(n) for n in (text_col, "n_words", "spans", "items")}
             counts, spans, items = [], [], []
