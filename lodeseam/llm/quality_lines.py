@@ -4,7 +4,7 @@ Line rules, each on one \\n-split line with ``w`` words:
 
 * punctuation: characters of ``[#*$%&<>]`` and runs of two or more ``!`` together number at least 0.4 ``w``;
 * navigation: at least 3 ``|`` or ``»`` separators, numbering at least 0.25 ``w``;
-* boilerplate: a fixed phrase (rights, cookies, subscriptions, scripts) in a line of at most 40 words.
+* boilerplate: a fixed phrase (rights, cookies, subscriptions, scripts; in four languages) in a line of at most 40 words.
 
 ``kept`` is false where the base rules fail or where removed lines hold over ``max_loss`` of the words.
 
@@ -15,6 +15,9 @@ table gives an empty result; other columns pass through, clashing ones are repla
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +25,12 @@ from lodeseam.llm.columns import SPACE, let, size_long, space_words
 
 SYMBOLS = "#*$%&|<>"
 # Fixed phrases of the boilerplate rule.
-BOILERPLATE = ["all rights reserved", "cookie policy", "uses cookies", "privacy policy", "terms of service", "terms of use", "subscribe to our", "sign up for our", "click here to", "enable javascript", "share this article", "follow us on", "skip to content", "back to top", "powered by"]
+BOILERPLATE = [
+    "all rights reserved", "cookie policy", "uses cookies", "privacy policy", "terms of service", "terms of use", "subscribe to our", "sign up for our", "click here to", "enable javascript", "share this article", "follow us on", "skip to content", "back to top", "powered by",
+    "alle rechte vorbehalten", "verwendet cookies", "nutzungsbedingungen", "newsletter abonnieren", "klicken sie hier", "folgen sie uns", "zum inhalt springen", "nach oben",
+    "tous droits réservés", "utilise des cookies", "mentions légales", "conditions générales", "abonnez-vous", "cliquez ici", "suivez-nous", "aller au contenu", "haut de page",
+    "todos los derechos reservados", "utiliza cookies", "aviso legal", "términos de uso", "suscríbete", "haga clic aquí", "síguenos", "saltar al contenido", "volver arriba",
+]
 MIN_WORDS, MAX_REPEAT_PCT, MAX_LOSS = 10, 20, 0.5
 WINDOW = 5
 
@@ -60,7 +68,7 @@ def line_fails(line: Column) -> Column:
         n = F.size(w)
         noise = _removed(line, r"[#*$%&<>]") + F.regexp_count(line, F.lit("!!+"))
         bars = _removed(line, r"[|»]")
-        boiler = F.lower(line).rlike("|".join(BOILERPLATE))
+        boiler = reduce(or_, [F.lower(line).contains(p) for p in BOILERPLATE])
         return (n > 0) & ((noise >= 0.4 * n) | ((bars >= 3) & (bars >= 0.25 * n)) | (boiler & (n <= 40)))
 
     return let(space_words(line), judge)
@@ -82,7 +90,8 @@ def line_quality(docs: DataFrame, text_col: str = "text", max_loss: float = MAX_
         ),
     )
     # No line of a text without any of these can fail: such a text isn't taken apart.
-    suspect = text.rlike(r"[#*$%&<>|»]|!!") | F.lower(text).rlike("|".join(BOILERPLATE))
+    low = F.lower(text)
+    suspect = text.rlike(r"[#*$%&<>|»]|!!") | reduce(or_, [low.contains(p) for p in BOILERPLATE])
     lost = F.col("__l.lost")
     return (
         docs.withColumn("__c", counts)
