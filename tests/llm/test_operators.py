@@ -237,7 +237,8 @@ def test_encoder_equals_tokenizer():
 
     t = Tokenizer.from_file(token_store.tokenizer_path())
     texts = ["It's a test, isn't it?", "<|endoftext|> x <|ENDOFTEXT|>", "ÀÉ́ é.x A.b,c", " x y\u0085z", "a1b2 3,4.5", "don't!!! ...,. x.'s", "İK ſ ß", "", None, "日本語、テスト。", "x" * 500, "🙂🙂 ok"]
-    e = token_store.Encoder(token_store.tokenizer_path())
+    with open(token_store.tokenizer_path(), encoding="utf-8") as f:
+        e = token_store.Encoder(f.read())
     for _ in range(2):
         ids, sizes = e.encode(pa.array(texts))
         parts = np.split(ids, np.cumsum(sizes)[:-1])
@@ -272,3 +273,47 @@ def test_minimal_perfect_hash():
     slots = s.find(h, fp)
     assert sorted(slots.tolist()) == list(range(5000)) and (s.top[slots] == np.arange(5000)).all() and (s.count[slots] == np.arange(5000) + 5).all()
     assert (s.find(h, fp ^ np.uint64(1)) == -1).all() and (s.find(r.integers(0, 1 << 63, 999).astype(np.uint64), fp[:999]) == -1).all()
+
+
+def test_a_lost_shard_is_an_error(spark, docs, tmp_path, monkeypatch):
+    import glob
+    import os
+
+    monkeypatch.setattr(line_dedup, "scratch", lambda spark, name: f"file://{tmp_path}/{name}")
+    out = line_dedup.drop_repeated_lines(spark, docs, shard_keys=1)
+    files = glob.glob(f"{tmp_path}/line-index/*.mph")
+    assert files and out.count() == docs.count()
+    for f in files:
+        os.remove(f)
+    with pytest.raises(Exception, match="mph"):
+        line_dedup.drop_repeated_lines.__globals__["_open"].clear()
+        out.agg({"n_dropped": "sum"}).collect()
+
+
+def test_crowded_rests_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(simhash_ball, "CROWD", 2)
+    monkeypatch.setattr(simhash_ball, "BROADCAST_KEYS", 0)  # and past what may be broadcast
+    r = random.Random(12)
+    base = r.getrandbits(64)
+    fps = {base ^ (r.getrandbits(21) << at) for at in (0, 21, 42) for _ in range(60)} | {base ^ sum(1 << b for b in r.sample(range(64), 3)) for _ in range(60)}
+    fps = sorted(fps)
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    found = {x["fp"]: x["component_id"] for x in simhash_ball.classes(spark, spark.createDataFrame(list(enumerate(signed)), "id long, fp long")).collect()}
+    label = list(range(len(fps)))
+    for _ in fps:
+        now = [min(label[j] for j in range(len(fps)) if (fps[i] ^ fps[j]).bit_count() <= 3) for i in range(len(fps))]
+        if now == label:
+            break
+        label = now
+    assert [found[x] for x in signed] == label
+
+
+def test_notices_of_every_template(spark):
+    notices = [(i, f"Some words before. {text.title()}! And after", label) for i, (label, text, _) in enumerate(license_index.TEMPLATES)]
+    out = {x["doc_id"]: x for x in license_index.scan_licenses(spark.createDataFrame(notices, "doc_id int, text string, label string")).collect()}
+    for i, _, label in notices:
+        assert label in out[i]["labels"].split(",") and out[i]["score"] == 1.0, label
+    # A key phrase out of its order, or with a word missing, is no candidate.
+    for text in ("license mit", "apache version license 2", "redistribution and use in source and forms", "mozilla public license v 2 1"):
+        row = license_index.scan_licenses(spark.createDataFrame([(1, text)], "doc_id int, text string")).first()
+        assert (row["labels"], row["score"]) == ("", 0.0), text
