@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodeseam.plans import decisions, graphs, linking, retrieval  # noqa: F401  each registers its queries
+from lodeseam.plans import decisions, graphs, linking, retrieval, trials  # noqa: F401  each registers its queries
 from lodeseam.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -160,9 +160,10 @@ def hubs(scores: DataFrame, share: float = 0.2, value: str = "score") -> DataFra
     return scores.where(F.col(value) >= v)
 
 
-def pagerank(spark: SparkSession, nodes: DataFrame, edges: DataFrame, *, damping: float = 0.85, tol: float = 1e-6, max_iter: int = 100) -> DataFrame:
+def pagerank(spark: SparkSession, nodes: DataFrame, edges: DataFrame, *, damping: float = 0.85, tol: float = 1e-6, max_iter: int = 100, restart: DataFrame | None = None) -> DataFrame:
     """(node, score): uniform start, parallel edges as one, dangling mass spread evenly; ends with the first round that
-    changes the scores by less than ``tol`` in all.
+    changes the scores by less than ``tol`` in all.  With ``restart`` (node, weight) walks begin, and dangling mass
+    goes, where the weights say.
 
     The structure is written once; each round joins the scores to it, sums by target with a combine before the shuffle,
     and is written with the scores before it, from which the next round's dangling mass and the change are read.
@@ -175,14 +176,19 @@ def pagerank(spark: SparkSession, nodes: DataFrame, edges: DataFrame, *, damping
         out = persisted(spark, links.groupBy("src").agg(F.count("*").alias("deg")), "pr-degrees")
         links = persisted(spark, links.join(out, "src"), "pr-links")
         start = nodes.select("node").join(out.withColumnRenamed("src", "node"), "node", "left")
-        ranks = persisted(spark, start.select("node", F.lit(1.0 / n).alias("score"), F.col("deg").isNull().alias("dangling"), F.lit(0.0).alias("old")), "pr-ranks")
+        if restart is None:
+            start = start.withColumn("home", F.lit(1.0 / n))
+        else:
+            whole = float(restart.agg(F.sum("weight")).first()[0] or 1.0)
+            start = start.join(restart.groupBy("node").agg((F.sum("weight") / whole).alias("home")), "node", "left").fillna(0.0, ["home"])
+        ranks = persisted(spark, start.select("node", F.col("home").alias("score"), F.col("deg").isNull().alias("dangling"), F.lit(0.0).alias("old"), "home"), "pr-ranks")
         for _ in range(max_iter):
             change, lost = ranks.agg(F.sum(F.abs(F.col("score") - F.col("old"))), F.sum(F.when(F.col("dangling"), F.col("score")).otherwise(0.0))).first()
             if tol and change < tol:
                 break
             sent = links.join(ranks.select(F.col("node").alias("src"), "score"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") / F.col("deg")).alias("got"))
-            score = F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + F.lit(lost / n))
-            before, ranks = ranks, persisted(spark, ranks.join(sent, "node", "left").select("node", score.alias("score"), "dangling", F.col("score").alias("old")), "pr-ranks")
+            score = (1 - damping) * F.col("home") + damping * (F.coalesce("got", F.lit(0.0)) + F.lit(lost) * F.col("home"))
+            before, ranks = ranks, persisted(spark, ranks.join(sent, "node", "left").select("node", score.alias("score"), "dangling", F.col("score").alias("old"), "home"), "pr-ranks")
             discard(before)
         return keep(ranks.select("node", "score"), "pagerank")
 

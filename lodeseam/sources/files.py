@@ -10,6 +10,7 @@ import uuid
 from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # fixed values: languages by suffix, and what is never read
@@ -171,3 +172,96 @@ def transcript_calls(runs: DataFrame) -> DataFrame:
     uses = turns.select("run", "turn", F.explode("t.uses").alias("u")).select("run", "turn", F.col("u.id").alias("id"), F.col("u.tool").alias("tool"))
     results = turns.select("run", F.explode("t.results").alias("r")).select("run", F.col("r.id").alias("id"), F.col("r.output").alias("output"))
     return uses.join(results, ["run", "id"], "left")
+
+
+def save_vectors(spark: SparkSession, folder: str, vectors: DataFrame, model: str) -> str:
+    """(doc_id, vec) as one version with its count and size."""
+    v = spark.createDataFrame([(model,)], "model string")
+    size = vectors.agg(F.count("*").alias("n"), F.min(F.size("vec")).alias("least"), F.max(F.size("vec")).alias("most"))
+    return save_index(spark, folder, {"vectors": vectors.select("doc_id", "vec"), "about": v.join(size)})
+
+
+def load_vectors(spark: SparkSession, folder: str, ids: DataFrame | None = None) -> DataFrame | None:
+    """The saved vectors; an error where their number isn't what was saved, or an id of ``ids`` has none."""
+    tables = load_index(spark, folder)
+    if tables is None:
+        return None
+    about, vectors = tables["about"].first(), tables["vectors"]
+    if vectors.count() != about["n"] or about["least"] != about["most"]:
+        raise ValueError(f"{folder}: {about['n']} vectors of {about['least']} to {about['most']} numbers were saved")
+    if ids is not None and not ids.join(vectors, "doc_id", "left_anti").isEmpty():
+        raise ValueError(f"{folder}: some ids have no vector")
+    return vectors
+
+
+# fixed values: weights of the confidence factors, and the cuts of its levels
+DEFAULT_CALIBRATION = {"weights": {"entity_match": 0.35, "coverage": 0.25, "ambiguity": 0.15, "dependency_depth": 0.15, "cross_file": 0.10}, "thresholds": {"HIGH": 0.70, "MEDIUM": 0.40, "LOW": 0.20}}
+
+
+def save_calibration(path: str, calibration: dict) -> None:
+    """Whole or not at all."""
+    with open(f"{path}.tmp", "w") as f:
+        json.dump(calibration, f, indent=2)
+    os.replace(f"{path}.tmp", path)
+
+
+def load_calibration(path: str) -> dict:
+    """The defaults where there is no readable file; a part that is missing takes its default."""
+    try:
+        with open(path) as f:
+            found = json.load(f)
+        return {k: {**v, **found.get(k, {})} for k, v in DEFAULT_CALIBRATION.items()}
+    except (OSError, ValueError, AttributeError, TypeError):
+        return {k: dict(v) for k, v in DEFAULT_CALIBRATION.items()}
+
+
+TASKS = "task_id string, repo string, query string, gold_files array<string>, gold_fqns array<string>, patch string"
+
+
+def read_tasks(spark: SparkSession, path: str) -> DataFrame:
+    """An evaluation set, a JSON object a line; what a task's gold lacks is taken from its patch."""
+    rows = spark.read.schema(TASKS).option("mode", "DROPMALFORMED").json(path)
+    files, fqns = patch_gold(F.col("patch"))
+    return rows.withColumn("gold_files", F.coalesce("gold_files", files)).withColumn("gold_fqns", F.coalesce("gold_fqns", fqns))
+
+
+def patch_gold(patch: Column) -> tuple[Column, Column]:
+    """Files of a unified diff, and the declarations that its hunk headers name, as ``file::name``; each once, in order."""
+    # A file's part runs from its ``+++`` line to the next one's.
+    parts = F.split(F.concat(F.lit("\n"), F.coalesce(patch, F.lit(""))), r"\n\+\+\+ b/")
+    later = F.slice(parts, 2, F.greatest(F.lit(0), F.size(parts) - 1))
+    name = lambda p: F.trim(F.split_part(p, F.lit("\n"), F.lit(1)))
+    header = r"(?m)^@@[^@\n]*@@[^\n]*?\b(?:def|class|func(?:tion)?(?:\s*\([^)]*\))?|interface|struct|fn)\s+([A-Za-z_$][\w$]*)"
+    fqns = F.flatten(F.transform(later, lambda p: F.transform(F.regexp_extract_all(p, F.lit(header), 1), lambda n: F.concat(name(p), F.lit("::"), n))))
+    return F.array_distinct(F.transform(later, name)), F.array_distinct(fqns)
+
+
+def changed_lines(diffs: DataFrame) -> DataFrame:
+    """(id, file, line): lines of the old files that a unified diff (id, diff) shows or inserts at.
+
+    Every line of a diff is numbered; a hunk's old line is its start and the old-side lines before it in the hunk.
+    """
+    lines = diffs.select("id", F.posexplode(F.split(F.coalesce("diff", F.lit("")), "\r?\n")).alias("at", "x"))
+    upto = W.partitionBy("id").orderBy("at")
+    file = F.when(F.col("x").startswith("+++ b/"), F.trim(F.substring("x", 7, 1 << 20)))
+    start = F.when(F.col("x").rlike(r"^@@ -\d+"), F.regexp_extract("x", r"^@@ -(\d+)", 1).cast("long"))
+    rows = lines.withColumn("file", F.last(file, True).over(upto)).withColumn("start", F.last(start, True).over(upto)).withColumn("hunk", F.sum(start.isNotNull().cast("long")).over(upto))
+    inside = rows.where("file IS NOT NULL AND start IS NOT NULL").where(~F.col("x").rlike(r"^(@@|\+\+\+|---|diff |index )") & F.col("x").rlike("^[-+ ]"))
+    old = F.col("x").rlike("^[- ]").cast("long")
+    before = F.sum(old).over(W.partitionBy("id", "hunk").orderBy("at")) - old
+    return inside.withColumn("line", F.col("start") + before).select("id", "file", "line").distinct()
+
+
+def write_report(rows: DataFrame, path: str, kind: str = "json") -> None:
+    """A result as JSON, CSV or a markdown table (one file: a report is an answer of bounded length)."""
+    if kind == "json":
+        rows.coalesce(1).write.mode("overwrite").json(path)
+    elif kind == "csv":
+        rows.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    elif kind == "markdown":
+        cells = lambda cs: F.concat(F.lit("| "), F.concat_ws(" | ", *cs), F.lit(" |"))
+        body = rows.select(F.lit(1).alias("n"), cells([F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in rows.columns]).alias("value"))
+        head = rows.sparkSession.createDataFrame([(0, "| " + " | ".join(rows.columns) + " |"), (0, "|" + "-|" * len(rows.columns))], "n int, value string")
+        head.coalesce(1).unionByName(body).coalesce(1).select("value").write.mode("overwrite").text(path)
+    else:
+        raise ValueError(kind)
