@@ -188,11 +188,6 @@ def seed_variants(path: Column) -> Column:
     return F.array_distinct(F.concat(F.array(path, bare), F.array(*[F.concat(F.lit(f), bare) for f in folders])))
 
 
-def range_overlap(a1: Column, z1: Column, a2: Column, z2: Column) -> Column:
-    """The part of the first range that the second covers."""
-    return F.greatest(F.lit(0), F.least(z1, z2) - F.greatest(a1, a2) + 1) / (z1 - a1 + 1)
-
-
 def diff_shape(diff: Column) -> Column:
     lines = F.split(F.coalesce(diff, F.lit("")), "\n")
     n = lambda p: F.size(F.filter(lines, lambda x: x.rlike(p))).cast("long")
