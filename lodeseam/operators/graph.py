@@ -67,23 +67,39 @@ def dependency_chain(spark: SparkSession, edges: DataFrame, starts: DataFrame, d
 
 
 def shortest_paths(spark: SparkSession, edges: DataFrame, pairs: DataFrame, max_hops: int = 10) -> DataFrame:
-    """(a, b, hops, path) over undirected edges: of the shortest paths the one least in lexical order."""
+    """(a, b, hops, path) over undirected edges: of the shortest paths the one least in lexical order.
+
+    Searches from both ends meet over an edge.  Each round looks whether an edge ties the two frontiers, by whichever
+    join has less to do, and then takes the side forward whose frontier has fewer edges: hubs are passed through only
+    where no shorter way is left.
+    """
     with scope(spark) as keep:
         both = persisted(spark, edges.select("src", "dst").unionByName(reverse(edges).select("src", "dst")).distinct(), "hops")
-        frontier = persisted(spark, pairs.select("a", "b", F.col("a").alias("at"), F.array("a").alias("path")).distinct(), "pairs")
-        done = frontier.where("a = b").select("a", "b", "path")
-        frontier = frontier.where("a <> b")
-        seen = frontier.select("a", "b", "at")
+        degrees = persisted(spark, both.groupBy("src").agg(F.count("*").alias("deg")), "degrees")
+        asked = persisted(spark, pairs.select("a", "b").distinct(), "pairs")
+        done = asked.where("a = b").select("a", "b", F.array("a").alias("path"))
+        front = {end: asked.where("a <> b").select("a", "b", F.col(end).alias("at"), F.array(end).alias("path")) for end in "ab"}
+        seen = {end: f.select("a", "b", "at") for end, f in front.items()}
         for _ in range(max_hops):
-            step = frontier.join(both, frontier["at"] == both["src"]).select("a", "b", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"))
-            best = step.groupBy("a", "b", "at").agg(F.min("path").alias("path")).join(seen, ["a", "b", "at"], "left_anti")
-            best = persisted(spark, best, "paths")
-            hit = best.where("at = b").select("a", "b", "path")
-            done = done.unionByName(hit)
-            frontier = best.join(hit.select("a", "b"), ["a", "b"], "left_anti")
-            if frontier.isEmpty():
+            sums = {end: f.join(degrees, F.col("at") == F.col("src")).groupBy("a", "b").agg(F.count("*").alias(f"n_{end}"), F.sum("deg").alias(f"d_{end}")) for end, f in front.items()}
+            to_do = sums["a"].join(sums["b"], ["a", "b"]).agg(F.sum("d_a").alias("a"), F.sum("d_b").alias("b"), F.sum(F.col("n_a") * F.col("n_b")).alias("pairs")).first()
+            if not to_do["pairs"]:
                 break
-            seen = seen.unionByName(best.select("a", "b", "at"))
+            x, y = front["a"], front["b"].select("a", "b", F.col("at").alias("to"), F.col("path").alias("rest"))
+            if to_do["pairs"] <= to_do["a"]:
+                met = x.join(y, ["a", "b"]).join(both, (F.col("at") == F.col("src")) & (F.col("to") == F.col("dst")), "left_semi")
+            else:
+                met = x.join(both, F.col("at") == F.col("src")).withColumnRenamed("dst", "to").join(y, ["a", "b", "to"])
+            hit = persisted(spark, met.groupBy("a", "b").agg(F.min(F.concat("path", "rest")).alias("path")), "paths")
+            if not hit.isEmpty():
+                done = done.unionByName(hit)
+                front = {end: persisted(spark, f.join(hit.select("a", "b"), ["a", "b"], "left_anti"), "frontier") for end, f in front.items()}
+            end = "a" if to_do["a"] <= to_do["b"] else "b"
+            path = F.concat("path", F.array("dst")) if end == "a" else F.concat(F.array("dst"), "path")
+            step = front[end].join(both, F.col("at") == F.col("src")).select("a", "b", F.col("dst").alias("at"), path.alias("path"))
+            new = step.groupBy("a", "b", "at").agg(F.min("path").alias("path")).join(seen[end], ["a", "b", "at"], "left_anti")
+            front[end] = persisted(spark, new, "frontier")
+            seen[end] = seen[end].unionByName(front[end].select("a", "b", "at"))
         return keep(done.select("a", "b", (F.size("path") - 1).cast("long").alias("hops"), "path"), "shortest")
 
 

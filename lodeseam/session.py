@@ -132,6 +132,23 @@ def _delete_rest() -> None:
             _delete(paths)
 
 
+def scanned_bytes(df: DataFrame) -> int:
+    """The size of the one table that a plan scans; 0 where it is another plan, or the size isn't known."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    size = int(str(plan.stats().sizeInBytes()))
+    return size if plan.collectLeaves().size() == 1 and size < 1 << 60 else 0
+
+
+def spread(df: DataFrame, key: str, least: int = 8 << 20) -> DataFrame:
+    """A small table, of less than ``least`` bytes a core, dealt to all cores before much is done with its rows.
+
+    Such a table may be one row group, which one task would read and work on; a larger one has splits enough and is
+    not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if 0 < scanned_bytes(df) < least * cores else df
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Long texts: no more rows in an Arrow batch than this for the session's Python workers; never raises a bound.
 
