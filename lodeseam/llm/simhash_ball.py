@@ -46,6 +46,8 @@ BROADCAST_KEYS = 2_000_000
 BROADCAST_IDS = 1_000_000
 #: Rests that collide in a bucket beyond this many are told apart by the third left out, not by pairs.
 CROWD = 500
+#: Fingerprints whose balls one task makes, as long as that takes no more tasks than the second figure.
+TASK_FPS, MAX_TASKS = 20_000, 200_000
 #: The thirds of a fingerprint, as masks of what is left without them.
 _THIRDS = [((1 << 22) - 1) << 42, ((1 << 21) - 1) << 21, (1 << 21) - 1]
 
@@ -132,14 +134,17 @@ def spread_labels(spark: SparkSession, vertices: DataFrame, edges: DataFrame) ->
 def classes(spark: SparkSession, fps: DataFrame) -> DataFrame:
     """(fp, least id, component_id) of the distinct fingerprints of ``fps`` (id, fp)."""
     with scope(spark) as keep:
-        distinct = persisted(spark, fps.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
+        distinct = persisted(spark, fps.groupBy("fp").agg(F.min("id").alias("least")), "simhash-few")
+        # Small rows lie in few files: they are dealt out before each makes its ball.
+        tasks = min(MAX_TASKS, -(-distinct.count() // TASK_FPS) or 1)
+        distinct = persisted(spark, distinct.repartition(tasks, "fp"), "simhash-distinct")
         every = (1 << 64) - 1
         shared = distinct.select("fp", F.explode(_ball(F.col("fp"), every)).alias("z")).groupBy("z").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi")
         shared = persisted(spark, shared, "simhash-shared")
         # A fingerprint's own variants tell which of those it is linked to.
         touched = persisted(spark, _sent(shared.select("z", "lo")).join(distinct.select("fp", F.explode(_ball(F.col("fp"), every)).alias("z")), "z").where("fp <> lo").groupBy("fp", "lo").agg(F.lit(1)).select(F.col("fp").alias("a"), F.col("lo").alias("b")), "simhash-near")
         first = spread_labels(spark, distinct.select(F.col("fp").alias("v")), touched)
-        named = first.select(F.col("v").alias("fp"), F.col("label").alias("c"))
+        named = persisted(spark, first.select(F.col("v").alias("fp"), F.col("label").alias("c")).repartition(tasks, "fp"), "simhash-named")
         links = _links_of_three(spark, named)
         second = spread_labels(spark, first.where("v = label").select("v"), links)
         final = named.join(second.select(F.col("v").alias("c"), F.col("label").alias("root")), "c").join(distinct, "fp")
