@@ -15,9 +15,6 @@ table gives an empty result; other columns pass through, clashing ones are repla
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,12 +60,18 @@ def repeated_window_words(words: Column, n: int = WINDOW) -> Column:
     )
 
 
+def has_boilerplate(text: Column) -> Column:
+    """Whether a text holds a fixed phrase; it is lower-cased once, and the phrases stay data in the plan."""
+    phrases = F.array(*[F.lit(p) for p in BOILERPLATE])
+    return let(F.lower(text), lambda low: F.exists(phrases, lambda p: F.contains(low, p)))
+
+
 def line_fails(line: Column) -> Column:
     def judge(w: Column) -> Column:
         n = F.size(w)
         noise = _removed(line, r"[#*$%&<>]") + F.regexp_count(line, F.lit("!!+"))
         bars = _removed(line, r"[|»]")
-        boiler = reduce(or_, [F.lower(line).contains(p) for p in BOILERPLATE])
+        boiler = has_boilerplate(line)
         return (n > 0) & ((noise >= 0.4 * n) | ((bars >= 3) & (bars >= 0.25 * n)) | (boiler & (n <= 40)))
 
     return let(space_words(line), judge)
@@ -90,8 +93,7 @@ def line_quality(docs: DataFrame, text_col: str = "text", max_loss: float = MAX_
         ),
     )
     # No line of a text without any of these can fail: such a text isn't taken apart.
-    low = F.lower(text)
-    suspect = text.rlike(r"[#*$%&<>|»]|!!") | reduce(or_, [low.contains(p) for p in BOILERPLATE])
+    suspect = text.rlike(r"[#*$%&<>|»]|!!") | has_boilerplate(text)
     lost = F.col("__l.lost")
     return (
         docs.withColumn("__c", counts)
