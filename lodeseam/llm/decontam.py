@@ -17,12 +17,11 @@ replaced.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -182,22 +181,26 @@ def _automaton(name: str, sent: Broadcast[list[tuple[str, bytes]]], window: int)
     return _automata[name]
 
 
-def scan_documents(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` with n_words, spans (array of first and past-last word) and items (sorted ids of items hit)."""
+def scan_documents(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, finish: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None) -> DataFrame:
+    """``docs`` with n_words, spans (array of first and past-last word) and items (sorted ids of items hit).
+
+    ``finish`` takes each scanned batch in the worker of the last block's pass, so that it needs no worker of its own.
+    """
     ship_package(spark)
     small_batches(spark)
     added = T.StructType.fromDDL("n_words long, spans array<struct<first:int,past:int>>, items array<string>")
     names = set(added.fieldNames())
     kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in names])
     out = kept.withColumns({"n_words": F.lit(None).cast("long"), "spans": F.array().cast(added["spans"].dataType), "items": F.array().cast("array<string>")})
-    blocks = 0
+    last: list[tuple[str, bytes]] = []
     for block in read_blocks(benchmark, item_id, item_text, block_words):
-        out = _pass(spark, out, block, text_col, window)
-        blocks += 1
-    return out if blocks else _pass(spark, out, [], text_col, window)
+        if last:
+            out = _pass(spark, out, last, text_col, window)
+        last = block
+    return _pass(spark, out, last, text_col, window, finish)
 
 
-def _pass(spark: SparkSession, df: DataFrame, block: list[tuple[str, bytes]], text_col: str, window: int) -> DataFrame:
+def _pass(spark: SparkSession, df: DataFrame, block: list[tuple[str, bytes]], text_col: str, window: int, finish: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None) -> DataFrame:
     sent, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
     schema = df.schema
 
@@ -213,7 +216,8 @@ def _pass(spark: SparkSession, df: DataFrame, block: list[tuple[str, bytes]], te
                 spans.append(merged([(x["first"], x["past"]) for x in old] + new) if old else new)
                 items.append(sorted({*had, *found}))
             made = {"n_words": pa.array(counts, pa.int64()), "spans": pa.array([[{"first": a, "past": z} for a, z in x] for x in spans], batch.schema.field(at["spans"]).type), "items": pa.array(items, batch.schema.field(at["items"]).type)}
-            yield pa.RecordBatch.from_arrays([made.get(f.name, batch.column(i)) for i, f in enumerate(batch.schema)], schema=pa.schema([f.with_nullable(True) for f in batch.schema]))
+            done = pa.RecordBatch.from_arrays([made.get(f.name, batch.column(i)) for i, f in enumerate(batch.schema)], schema=pa.schema([f.with_nullable(True) for f in batch.schema]))
+            yield finish(done) if finish else done
 
     return df.mapInArrow(work, T.StructType([T.StructField(f.name, f.dataType, True) for f in schema]))
 
@@ -253,21 +257,17 @@ def clean_documents(spark: SparkSession, docs: DataFrame, benchmark: DataFrame,
 
     n_words, spans and items are added; where a column n_chars exists, it is the new text's length.
     """
-    scanned = scan_documents(spark, docs, benchmark, text_col=text_col, **how)
-    hit = F.aggregate("spans", F.lit(0), lambda a, s: a + s["past"] - s["first"])
-    left = scanned.where(hit <= max_coverage * F.col("n_words"))
-    schema = left.schema
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            i, k = batch.schema.get_field_index(text_col), batch.schema.get_field_index("spans")
-            spans = batch.column(k)
-            texts = [t.as_py() for t in batch.column(i)]
-            for row in np.flatnonzero(np.asarray(pc.list_value_length(spans).fill_null(0)) > 0).tolist():
-                long = [(s["first"], s["past"]) for s in spans[row].as_py() if s["past"] - s["first"] >= min_span]
-                texts[row] = cut_spans(texts[row], long)
-            cols = [pa.array(texts, f.type) if j == i else batch.column(j) for j, f in enumerate(batch.schema)]
-            yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
-
-    out = left.mapInArrow(work, schema)
+    def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
+        at = {n: batch.schema.get_field_index(n) for n in (text_col, "n_words", "spans")}
+        spans = batch.column(at["spans"]).to_pylist()
+        hit = np.array([sum(x["past"] - x["first"] for x in row) for row in spans], np.int64)
+        stay = hit <= max_coverage * batch.column(at["n_words"]).to_numpy(zero_copy_only=False)
+        texts = [t.as_py() for t in batch.column(at[text_col])]
+        for row in np.flatnonzero(stay & (hit > 0)).tolist():
+            texts[row] = cut_spans(texts[row], [(x["first"], x["past"]) for x in spans[row] if x["past"] - x["first"] >= min_span])
+        cols = [pa.array(texts, f.type) if j == at[text_col] else batch.column(j) for j, f in enumerate(batch.schema)]
+        return pa.RecordBatch.from_arrays(cols, schema=batch.schema).filter(pa.array(stay))
+
+    out = scan_documents(spark, docs, benchmark, text_col=text_col, finish=finish, **how)
     return out.withColumn("n_chars", F.length(text_col).cast("long")) if "n_chars" in docs.columns else out
