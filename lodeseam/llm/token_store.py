@@ -35,8 +35,8 @@ from lodeseam.llm.shared_files import read_whole, write_whole
 from lodeseam.session import persisted, scratch, ship_package, small_batches
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
-SHARD_TOKENS, HELD_WORDS, RANGE_BYTES = 1 << 22, 600_000, 256 << 20
-_encoders: dict[tuple[int, int], Encoder] = {}
+SHARD_TOKENS, HELD_WORDS, RANGE_BYTES = 1 << 22, 1_200_000, 256 << 20
+_encoders: dict[tuple[int, int, int], Encoder] = {}
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -52,13 +52,13 @@ class Encoder:
     default one.
     """
 
-    def __init__(self, definition: str, end_id: int = END_ID) -> None:
+    def __init__(self, definition: str, end_id: int = END_ID, held_words: int = HELD_WORDS) -> None:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end_id = Tokenizer.from_str(definition), end_id
+        self.tokenizer, self.end_id, self.held_words = Tokenizer.from_str(definition), end_id, held_words
         self._forget()
 
     def _forget(self) -> None:
@@ -92,7 +92,7 @@ class Encoder:
         lists = pc.ascii_split_whitespace(parted)
         words = lists.flatten().dictionary_encode()
         distinct = words.dictionary.to_pylist()
-        if len(self.known) > HELD_WORDS:
+        if len(self.known) > self.held_words:
             self._forget()
         if new := [w for w in distinct if w not in self.known]:
             self._add(new)
@@ -112,12 +112,12 @@ class Encoder:
         return ids, sizes
 
 
-def _encoder(sent: Broadcast[str], end_id: int) -> Encoder:
+def _encoder(sent: Broadcast[str], end_id: int, held_words: int) -> Encoder:
     """The worker's encoder, kept for the tasks that follow."""
-    key = (hash(sent.value), end_id)
+    key = (hash(sent.value), end_id, held_words)
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(sent.value, end_id)
+        _encoders[key] = Encoder(sent.value, end_id, held_words)
     return _encoders[key]
 
 
@@ -134,7 +134,7 @@ def _scanned_bytes(df: DataFrame) -> int:
     return size if plan.collectLeaves().size() == 1 and size < 1 << 60 else 0
 
 
-def write_store(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, tokenizer: str | None = None, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> Store:
+def write_store(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, tokenizer: str | None = None, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, held_words: int = HELD_WORDS) -> Store:
     """Writes the shards (``<task>-<number>.wm``) and the manifest (part, seq, docs, tokens, path)."""
     ship_package(spark)
     small_batches(spark, 1024)
@@ -144,7 +144,7 @@ def write_store(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id",
         sent = spark.sparkContext.broadcast(f.read())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = _encoder(sent, end_id), TaskContext.get().partitionId()
+        encoder, part = _encoder(sent, end_id, held_words), TaskContext.get().partitionId()
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         seq = total = 0
 
