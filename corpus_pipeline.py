@@ -13,6 +13,8 @@ from lodeseam.session import persisted
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: The part of the tokens that the mixture takes; no document is repeated.
 MIX_SHARE = 0.75
+#: Words whose ids a worker remembers: few, as the workers stay for the other stages.
+HELD_WORDS = 250_000
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +41,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts become token files; one row for each document tells its place in them."""
-    return token_store.read_documents(spark, token_store.write_store(spark, docs))
+    return token_store.read_documents(spark, token_store.write_store(spark, docs, held_words=HELD_WORDS))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
