@@ -35,7 +35,7 @@ from lodeseam.llm.shared_files import read_whole, write_whole
 from lodeseam.session import persisted, scratch, ship_package, small_batches
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
-SHARD_TOKENS, HELD_WORDS, RANGE_BYTES = 1 << 22, 800_000, 256 << 20
+SHARD_TOKENS, HELD_WORDS, RANGE_BYTES = 1 << 22, 900_000, 256 << 20
 _encoders: dict[tuple[int, int, int], Encoder] = {}
 
 
