@@ -103,6 +103,35 @@ def test_texts_that_hold_phrases(spark, monkeypatch):
     assert sorted(map(tuple, rank.containing(us, ws).collect())) == sorted((u["u"], w["w"]) for u in us.collect() for w in ws.collect() if w["w"] in u["u"])
 
 
+@pytest.mark.parametrize("k, positive", [(5, True), (7, False), (60, False), (400, True)])
+def test_nearest_vectors(spark, monkeypatch, k, positive):
+    """Matrix products give the very list of row by row sums: copies, ties, gaps, NaN and other lengths included."""
+    monkeypatch.setattr(rank, "VALUES", 16 * max(8, 2 * k))  # several blocks
+    r = random.Random(k)
+    vec = lambda n=8: [r.choice([-0.5, -0.25, 0.0, 0.125, 0.3, r.uniform(-1, 1)]) for _ in range(n)]
+    some = [vec() for _ in range(40)]
+    docs = [(i, r.choice(some) if i % 3 else vec()) for i in range(300)] + [(300, None), (301, [0.5] * 7 + [None]), (302, [0.5] * 7 + [float("nan")]), (303, vec(3)), (304, [])] + [(305 + i, some[0]) for i in range(40)]
+    asked = [(i, r.choice(some) if i % 2 else vec()) for i in range(40)] + [(40, None), (41, [None] + [0.1] * 7), (42, vec(3)), (43, []), (44, [0.0] * 8)]
+    d, q = spark.createDataFrame(docs, "doc_id long, vec array<float>").repartition(5), spark.createDataFrame(asked, "query_id int, vec array<float>")
+    pairs = d.crossJoin(q.withColumnRenamed("vec", "qv")).where(F.size("vec") == F.size("qv"))
+    scored = pairs.select("query_id", "doc_id", F.round(tx.cosine(F.col("vec"), F.col("qv")), 6).alias("score"))
+    expect = rank.top_k(scored.where("score > 0") if positive else scored, k)
+    flat = lambda df: sorted(map(repr, df.select("query_id", "doc_id", "rank", "score").collect()))
+    got = rank.dense(q, d, k, positive)
+    assert flat(got) == flat(expect)
+    assert "zip_with" not in got._jdf.queryExecution().toString()  # no sum of every pair, row by row
+    assert rank.dense(q.limit(0), d, k).count() == 0 == rank.dense(q, d.limit(0), k).count()
+
+
+def test_rounds_as_spark_does(spark):
+    from lodeseam.operators import nearest
+
+    r = random.Random(9)
+    xs = [0.0, -0.0, 1.0000005, 2.5e-7, 5e-7, -5e-7, 1e22, -123456789.1234565, 0.1234565, 0.1234575, float("inf"), 1e-300] + [round(r.uniform(-1, 1), 7) for _ in range(500)] + [r.uniform(-9, 9) for _ in range(500)]
+    expect = [x["y"] for x in spark.createDataFrame(list(enumerate(xs)), "i int, x double").select("i", F.round("x", 6).alias("y")).orderBy("i").collect()]
+    assert nearest.rounded(nearest.np.array(xs)).tolist() == expect
+
+
 def test_points_in_intervals(spark):
     r = random.Random(6)
     ranges = [(g, a, a + r.choice([0, 1, 5, 64, 500])) for g in "ab" for a in (r.randint(-50, 400) for _ in range(60))]
