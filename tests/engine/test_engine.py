@@ -103,6 +103,36 @@ def test_texts_that_hold_phrases(spark, monkeypatch):
     assert sorted(map(tuple, rank.containing(us, ws).collect())) == sorted((u["u"], w["w"]) for u in us.collect() for w in ws.collect() if w["w"] in u["u"])
 
 
+@pytest.mark.parametrize("k, path", [(3, None), (50, "file")])
+def test_grep_scans_each_text_once(spark, monkeypatch, k, path):
+    from lodeseam.operators import linescan
+
+    monkeypatch.setattr(linescan, "SUMS", 40)  # a few lines at a time
+    r = random.Random(k)
+    words = ["mill", "millstone", "windmill", "river_bed", "river", "bed", "été", "ab", "Sluice", "sluices2", "x"]
+    text = lambda: "".join(r.choice(words) + r.choice([" ", " ", "\n", ", ", "-", "\n\n"]) for _ in range(r.randint(0, 40)))
+    docs = [(f"d{i % 90}" if i < 90 else f"e{i}", text(), f"src/{r.choice(words)}/{r.choice(words)}.py") for i in range(200)] + [("copy%d" % i, "Mill river\nmill  sluice bed", "a/mill") for i in range(30)] + [("null", None, "river.py"), ("nothing", None, None), ("empty", "", "")]
+    asked = [(i, " ".join(r.choice(words) for _ in range(r.randint(1, 6)))) for i in range(25)] + [(25, "Mill river\nmill  sluice"), (26, "a b"), (27, None), (28, "mill river"), (29, "sluices2")]
+    d, q = spark.createDataFrame(docs, "doc_id string, text string, file string").repartition(3), spark.createDataFrame(asked, "query_id int, text string")
+    kws = {x["query_id"]: x["kws"] for x in q.select("query_id", tx.grep_keywords(F.col("text")).alias("kws")).collect()}
+    expect = []
+    for i, x in asked:
+        scored = []
+        for name, t, file in docs:
+            total = 0.0
+            for line in (t or "").lower().split("\n"):
+                units = "".join(c if c.isalnum() or c == "_" else " " for c in line).split()
+                total += min(5.0, sum(1.5 if w in units else 1.0 for w in kws[i] if w in line))
+            phrase = " ".join((x or "").lower().split())
+            total += 12 * (len(phrase) >= 8 and kws[i] != [] and phrase in (t or "").lower())
+            total += 8 * sum(w in (file or "").lower() for w in kws[i]) if path else 0
+            scored += [(-total, name)] if total else []
+        expect += [(i, name, n, -s) for n, (s, name) in enumerate(sorted(scored)[:k], 1)]
+    got = rank.grep(q, d, k, path=path)
+    assert sorted(map(tuple, got.select("query_id", "doc_id", "rank", "score").collect())) == sorted(expect)
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()  # no row for each word of a text
+
+
 @pytest.mark.parametrize("k, positive", [(5, True), (7, False), (60, False), (400, True)])
 def test_nearest_vectors(spark, monkeypatch, k, positive):
     """Matrix products give the very list of row by row sums: copies, ties, gaps, NaN and other lengths included."""
@@ -123,6 +153,14 @@ def test_nearest_vectors(spark, monkeypatch, k, positive):
     assert rank.dense(q.limit(0), d, k).count() == 0 == rank.dense(q, d.limit(0), k).count()
 
 
+def test_each_task_gives_its_own_best(spark):
+    """The rows that are ranked are k of each query and core at most, however many vectors there are."""
+    r = random.Random(3)
+    d = spark.createDataFrame([(i, [r.uniform(-1, 1) for _ in range(4)]) for i in range(3000)], "doc_id long, vec array<float>")
+    seen = rank.dense(d.limit(20).withColumnRenamed("doc_id", "query_id"), d, 10)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in seen and "Join" not in seen
+
+
 def test_rounds_as_spark_does(spark):
     from lodeseam.operators import nearest
 
