@@ -80,7 +80,7 @@ def shortest_paths(spark: SparkSession, edges: DataFrame, pairs: DataFrame, max_
         done = asked.where("a = b").select("a", "b", F.array("a").alias("path"))
         front = {end: asked.where("a <> b").select("a", "b", F.col(end).alias("at"), F.array(end).alias("path")) for end in "ab"}
         seen = {end: f.select("a", "b", "at") for end, f in front.items()}
-        for _ in range(max_hops):
+        for hop in range(1, max_hops + 1):
             sums = {end: f.join(degrees, F.col("at") == F.col("src")).groupBy("a", "b").agg(F.count("*").alias(f"n_{end}"), F.sum("deg").alias(f"d_{end}")) for end, f in front.items()}
             to_do = sums["a"].join(sums["b"], ["a", "b"]).agg(F.sum("d_a").alias("a"), F.sum("d_b").alias("b"), F.sum(F.col("n_a") * F.col("n_b")).alias("pairs")).first()
             if not to_do["pairs"]:
@@ -91,8 +91,11 @@ def shortest_paths(spark: SparkSession, edges: DataFrame, pairs: DataFrame, max_
             else:
                 met = x.join(both, F.col("at") == F.col("src")).withColumnRenamed("dst", "to").join(y, ["a", "b", "to"])
             hit = persisted(spark, met.groupBy("a", "b").agg(F.min(F.concat("path", "rest")).alias("path")), "paths")
-            if not hit.isEmpty():
-                done = done.unionByName(hit)
+            found = not hit.isEmpty()
+            done = done.unionByName(hit) if found else done
+            if hop == max_hops:  # a further step, which may lead through hubs, would never be looked at
+                break
+            if found:
                 front = {end: persisted(spark, f.join(hit.select("a", "b"), ["a", "b"], "left_anti"), "frontier") for end, f in front.items()}
             end = "a" if to_do["a"] <= to_do["b"] else "b"
             path = F.concat("path", F.array("dst")) if end == "a" else F.concat(F.array("dst"), "path")

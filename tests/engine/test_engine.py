@@ -204,6 +204,17 @@ def test_searches_of_the_graph(spark, edges):
     assert {r["doc_id"].split("::")[1]: r["n"] for r in graph.bridge_counts(spark, edges, *lists, depth=3).collect()} == {"checkout": 1, "charge": 1, "send": 1}
 
 
+def test_paths_take_no_step_behind_the_last_hop(spark, monkeypatch):
+    sizes, keep = [], graph.persisted
+    monkeypatch.setattr(graph, "persisted", lambda s, df, name: sizes.append((name, (out := keep(s, df, name)).count())) or out)
+    stars = [(f"{hub}{i}", hub) for hub in "xy" for i in range(300)] + [("x0", "z"), ("y0", "z")]
+    edges = spark.createDataFrame(stars, "src string, dst string")
+    pairs = spark.createDataFrame([("x1", "x2"), ("x1", "y2"), ("x0", "y0"), ("x1", "y0")], "a string, b string")
+    got = {(r["a"], r["b"]): r["path"] for r in graph.shortest_paths(spark, edges, pairs, 3).collect()}
+    assert got == {("x1", "x2"): ["x1", "x", "x2"], ("x0", "y0"): ["x0", "z", "y0"]}
+    assert max(n for name, n in sizes if name == "frontier") < 20  # the stars' rays stay out
+
+
 @pytest.mark.parametrize("ordered", [10_000, 3])
 def test_hubs(spark, monkeypatch, ordered):
     monkeypatch.setattr(graph, "ORDERED", ordered)
