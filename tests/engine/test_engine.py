@@ -170,6 +170,47 @@ def test_rounds_as_spark_does(spark):
     assert nearest.rounded(nearest.np.array(xs)).tolist() == expect
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e-4, 1e9, 1e25])
+@pytest.mark.parametrize("k, positive", [(3, True), (25, False)])
+def test_nearly_equal_vectors(monkeypatch, scale, k, positive):
+    """What single precision can't tell apart is ordered by the sums in order, at any magnitude and in batches of any size."""
+    import pyarrow as pa
+
+    from lodeseam.operators import nearest
+
+    r = nearest.np.random.default_rng(k)
+    base = r.normal(size=(6, 16))
+    docs = nearest.np.concatenate([base[r.integers(0, 6, 1500)] + r.choice([0, 1e-7, 4e-7, 1e-6, 1e-3], (1500, 1)), r.normal(size=(300, 16)) * r.choice([1e-30, 1e-3, 1.0, scale], (300, 1))])
+    docs[700, 3], docs[900, 5] = float("nan"), float("inf")
+    asked = nearest.np.concatenate([base, base[:3] * scale, -base[:2], [[float("inf")] * 16, [0.0] * 16]])
+    lists = lambda m: pa.array(m.tolist(), pa.list_(pa.float64()))
+    expect = []
+    for q, x in enumerate(asked):
+        with nearest.np.errstate(all="ignore"):
+            scores = nearest.rounded(nearest.np.cumsum(x * docs, axis=1)[:, -1])
+        order = sorted((i for i in range(len(docs)) if not positive or scores[i] > 0 or scores[i] != scores[i]), key=lambda i: (scores[i] == scores[i], -scores[i] if scores[i] == scores[i] else 0, i))
+        expect += [(q, i, repr(float(scores[i]))) for i in order[:k]]
+    monkeypatch.setattr(nearest, "ROWS", 512)
+    batches = pa.table({"doc_id": list(range(len(docs))), "vec": lists(docs)}).to_batches(max_chunksize=200)
+    out = pa.Table.from_batches(nearest.nearest(iter(batches), pa.table({"query_id": list(range(len(asked))), "vec": lists(asked)}), k, positive))
+    assert sorted(zip(out["query_id"].to_pylist(), out["doc_id"].to_pylist(), map(repr, out["score"].to_pylist()), strict=True)) == sorted(expect)
+
+
+def test_few_pairs_are_summed_in_order(monkeypatch):
+    """Little more than the best: also where the session's batches are small."""
+    import pyarrow as pa
+
+    from lodeseam.operators import nearest
+
+    r, seen = nearest.np.random.default_rng(4), []
+    lists = lambda n: pa.array(r.normal(size=(n, 16)).tolist(), pa.list_(pa.float32()))
+    keep = nearest.Nearest._keep
+    monkeypatch.setattr(nearest.Nearest, "_keep", lambda self, *a: (seen.append(len(a[-1])), keep(self, *a)))
+    batches = pa.table({"doc_id": list(range(6000)), "vec": lists(6000)}).to_batches(max_chunksize=512)
+    assert sum(b.num_rows for b in nearest.nearest(iter(batches), pa.table({"query_id": list(range(50)), "vec": lists(50)}), 25, False)) == 50 * 25
+    assert sum(seen) < 1.5 * 50 * 25
+
+
 def test_points_in_intervals(spark):
     r = random.Random(6)
     ranges = [(g, a, a + r.choice([0, 1, 5, 64, 500])) for g in "ab" for a in (r.randint(-50, 400) for _ in range(60))]
