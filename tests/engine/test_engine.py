@@ -211,6 +211,25 @@ def test_few_pairs_are_summed_in_order(monkeypatch):
     assert sum(seen) < 1.5 * 50 * 25
 
 
+def test_rescore(spark, monkeypatch):
+    """Given pairs alone, once for each row of an identifier; no pair is summed by expressions, no query vector shuffled."""
+    monkeypatch.setattr(rank, "VALUES", 64)  # several blocks
+    r = random.Random(8)
+    vec = lambda n=8: [r.uniform(-1, 1) for _ in range(n)]
+    docs = [(i, vec()) for i in range(60)] + [(7, vec()), (60, None), (61, [0.5] * 7 + [None]), (62, [0.5] * 7 + [float("nan")]), (63, vec(3)), (64, [])]
+    asked = [(i, vec()) for i in range(20)] + [(3, vec()), (20, None), (21, [None] + [0.1] * 7), (22, vec(3)), (23, []), (None, vec())]
+    pairs = [(r.randint(0, 25), r.randint(0, 66)) for _ in range(600)] + [(None, 1), (1, None)]
+    d, q, c = (spark.createDataFrame(rows, s) for rows, s in ((docs, "doc_id long, vec array<float>"), (asked, "query_id int, vec array<float>"), (pairs, "query_id long, doc_id long")))
+    joined = c.distinct().join(d, "doc_id").join(q.withColumnRenamed("vec", "qv"), "query_id")
+    expect = rank.top_k(joined.select("query_id", "doc_id", F.round(tx.cosine(F.col("vec"), F.col("qv")), 6).alias("score")), 1000)
+    got = rank.rescore(c, q, d)
+    flat = lambda df: sorted(map(repr, df.select("query_id", "doc_id", "score").collect()))
+    assert flat(got) == flat(expect)
+    assert got.select("query_id", "rank").distinct().count() == got.count()
+    assert "zip_with" not in got._jdf.queryExecution().toString()
+    assert rank.rescore(c, q.limit(0), d).count() == 0
+
+
 def test_points_in_intervals(spark):
     r = random.Random(6)
     ranges = [(g, a, a + r.choice([0, 1, 5, 64, 500])) for g in "ab" for a in (r.randint(-50, 400) for _ in range(60))]
